@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -87,22 +88,22 @@ def small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, right_row
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], give: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Calls give for each run of equal keys of a partition that is sorted by them; a run may cross batches."""
+    """Calls give for each run of equal keys (integers) of a partition that is sorted by them; a run may cross batches."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*cols, strict=True))
-        start = 0
-        for i in range(len(rows) + 1):
-            if i == len(rows) or rows[i] != (rows[start] if i > start else rows[i]):
-                if last is not None and rows[start] != last:
-                    yield from give(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(start, i - start))
-                last = rows[start]
-                start = i
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        starts = np.flatnonzero(new).tolist()
+        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(int(c[s]) for c in cols)
+            if held and key != last:
+                yield from give(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
     if held:
         yield from give(pa.Table.from_batches(held))

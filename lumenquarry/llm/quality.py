@@ -46,10 +46,12 @@ def words_of(text: Column) -> Column:
 
 
 def common_candidates(docs: DataFrame) -> DataFrame:
-    """lang and the words that may be common in it; at most 4 * COMMON of them."""
+    """lang and the words that may be common in it, at most 4 * COMMON of them, for languages with enough words."""
     words = docs.select("lang", F.explode(words_of(F.translate("text", UPPER, LOWER))).alias("w"))
     top = words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * COMMON}, {200 * COMMON})").alias("top"), F.count("w").alias("n"))
     maybe = F.filter("top", lambda x: x["count"] * (2 * COMMON) >= F.col("n"))
+    enough = F.broadcast(top.select(F.sum("n").alias("all")))
+    top = top.join(enough, (F.col("n") > 0) & (F.col("n") * LANGUAGE >= F.col("all")))
     return top.select("lang", F.array_sort(F.transform(maybe, lambda x: x["item"])).alias("maybe"))
 
 
