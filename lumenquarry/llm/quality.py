@@ -140,11 +140,12 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "lang", "text")
     maybe = common.cut(common_candidates(plain.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))))
     inner = plain.select("doc_id", key().alias("_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    own, bad_id, bad_key = common.free(docs, "_key", "_bad", "_bad_key")
     rows = common.cut(with_words(inner.join(F.broadcast(maybe), "lang", "left")).drop("text"))
-    bad = common.cut(judged(rows).where(~F.col("kept")).select(F.col("doc_id").alias("_bad"), F.col("_key").alias("_bad_key")).distinct())
+    bad = common.cut(judged(rows).where(~F.col("kept")).select(F.col("doc_id").alias(bad_id), F.col("_key").alias(bad_key)).distinct())
     n = bad.count()
-    keyed = docs.withColumn("_key", key())
-    return common.small_or_shuffled(keyed, bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.col("_key") == F.col("_bad_key")), "left_anti", n, 24).drop("_key")
+    keyed = docs.withColumn(own, key())
+    return common.small_or_shuffled(keyed, bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_key)), "left_anti", n, 24).drop(own)
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
