@@ -27,28 +27,20 @@ MIN_BASE_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 MIN_WORDS, COMMON, LANGUAGE = 50, 100, 100
 MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.45, 0.3
 #: Characters of the classes; what is in none of them is the last class.
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-DIGITS = "0123456789"
-MARKS = ".,;:!?'\"()-"
-SYMBOLS = "#*$%&|<>"
-CLASSES = (SPACES, UPPER, DIGITS, MARKS, SYMBOLS)
+SPACES, NOT_SPACE = "\x20\x09\x0a\x0b\x0c\x0d", r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
+CLASSES = ("[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", SYMBOLS)
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAPS), "")
 
 
 def common_candidates(docs: DataFrame) -> DataFrame:
     """lang and the words that may be common in it, at most 4 * COMMON of them, for languages with enough words."""
-    words = docs.select("lang", F.explode(words_of(F.translate("text", UPPER, LOWER))).alias("w"))
-    top = words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * COMMON}, {200 * COMMON})").alias("top"), F.count("w").alias("n"))
+    words = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("w"))
+    top = common.cut(words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * COMMON}, {200 * COMMON})").alias("top"), F.count("w").alias("n")))
     maybe = F.filter("top", lambda x: x["count"] * (2 * COMMON) >= F.col("n"))
     enough = F.broadcast(top.select(F.sum("n").alias("all")))
     top = top.join(enough, (F.col("n") > 0) & (F.col("n") * LANGUAGE >= F.col("all")))
@@ -59,8 +51,8 @@ def with_words(docs: DataFrame) -> DataFrame:
     """The base counts of each row, its class counts and its counts of `maybe` words."""
     n = F.size("words")
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: without(x, SPACES) != "")
-    spaced = F.concat(F.lit("  "), F.array_join(F.transform("words", lambda w: F.translate(w, UPPER, LOWER)), "  "), F.lit("  "))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(NOT_SPACE)))
+    spaced = F.concat(F.lit("  "), F.lower(F.array_join("words", "  ")), F.lit("  "))
     out = docs.withColumn("words", words_of(F.col("text")))
     out = out.withColumns({"h": F.when(n > WINDOW, hashes), "spaced": F.when(n > 0, spaced), "lines": lines})
     windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(F.array_join(F.slice("words", i + 1, WINDOW), " ").alias("w"), i.alias("i")))
@@ -72,12 +64,11 @@ def with_words(docs: DataFrame) -> DataFrame:
     out = out.withColumn("at", F.when(F.col("sorted").isNotNull(), F.array_sort(F.array_compact(same))))
     covered = F.aggregate(F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
     counts = F.transform("maybe", lambda c: F.floor((F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.octet_length(c) + 2)))
-    chars = [F.length("text") - F.length(without(F.col("text"), c)) for c in CLASSES]
+    chars = [F.length("text") - F.col("word_chars"), *[F.regexp_count("text", F.lit(c)) for c in CLASSES[:-1]], F.col("n_symbols")]
+    out = out.withColumns({"word_chars": F.length(F.array_join("words", "")).cast("long"), "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long")})
     return out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(without(F.col("text"), SPACES)).cast("long"),
-            "n_symbols": (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.when(F.col("at").isNotNull(), covered), F.lit(0)).cast("long"),
             "counts": F.coalesce(counts, F.transform("maybe", lambda _: F.lit(0).cast("long"))),
@@ -88,12 +79,12 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def references(measures: DataFrame) -> DataFrame:
     """For each language with enough words: its common words' places and shares, and its classes' shares; one row each."""
-    sums = measures.groupBy("lang").agg(F.sum("n_words").alias("n"), F.first("maybe").alias("maybe"), *[F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
+    sums = measures.groupBy("lang").agg(F.sum("n_words").alias("n"), F.first("maybe").alias("maybe"), *[F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)])
     each = measures.select("lang", F.posexplode("counts").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     picked = each.join(sums.select("lang", "n"), "lang").where((F.col("x") * COMMON >= F.col("n")) & (F.col("n") > 0))
     words = picked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("x") / F.col("n")).alias("q")))).alias("common"))
     total = sums.select(F.sum("n").alias("all"))
-    chars = F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 1)])
+    chars = F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 2)])
     whole = F.aggregate(chars, F.lit(0.0), lambda s, x: s + x)
     out = sums.join(F.broadcast(total), F.col("n") * LANGUAGE >= F.col("all")).where(F.col("n") > 0).join(words, "lang", "left")
     return out.select("lang", F.coalesce("common", F.array().cast("array<struct<k:int,q:double>>")).alias("common"), F.transform(chars, lambda x: x / whole).alias("q_chars"))
@@ -159,7 +150,7 @@ def _lit(chars: str) -> str:
 OP7_SQL = rf"""
 with d as (select doc_id, coalesce(lang, '') lang, coalesce(text, '') t, row_number() over () r from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, length(t) n_all,
-    {", ".join(f"length(t) - length(translate(t, {_lit(c)}, '')) c{k}" for k, c in enumerate(CLASSES))} from d),
+    length(t) - length(translate(t, {_lit(SPACES)}, '')) c0, {", ".join(f"len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) c{k + 1}" for k, c in enumerate(CLASSES))} from d),
 e as (select r, unnest(range(1, len(ws) + 1)) i, unnest(ws) w from w),
 g as (select r, i, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o || ' ' || lead(w, 4) over o v
     from e window o as (partition by r order by i)),
@@ -167,7 +158,7 @@ dup as (select r, i from (select r, i, count(*) over (partition by r, v) c from
 cov as (select r, count(distinct i + k) n from dup, range(5) t(k) group by r),
 ln as (select r, count(*) - count(distinct l) n from (select r, unnest(string_split(t, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r),
 lang_n as (select lang, sum(len(ws)) n, sum(n_all - c0 - c1 - c2 - c3 - c4) c5, sum(c0) c0, sum(c1) c1, sum(c2) c2, sum(c3) c3, sum(c4) c4 from w group by lang),
-lw as (select w.lang, e.r, translate(e.w, '{UPPER}', '{LOWER}') w from e join w using (r)),
+lw as (select w.lang, e.r, lower(e.w) w from e join w using (r)),
 cw as (select lang, w, count(*) x from lw group by lang, w),
 ref as (select cw.lang, w, x / n q from cw join lang_n using (lang) where x * {COMMON} >= n),
 ok as (select * from lang_n where n > 0 and n * {LANGUAGE} >= (select sum(n) from lang_n)),
