@@ -14,7 +14,7 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).withColumn("bins", F.greatest(F.ceil((F.col("hi") - F.col("lo")) / width), F.lit(1)).cast("long"))
     bin_ = F.least(F.floor((F.col(value) - F.col("lo")) / width).cast("long"), F.col("bins") - 1)
     counted = df.join(F.broadcast(ends)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
-    every = ends.where("bins is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), "lo")
+    every = ends.where("lo is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), "lo")
     return every.join(counted, "bin", "left").select("bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
