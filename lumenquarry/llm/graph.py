@@ -146,7 +146,7 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
     blocked = common.small_or_shuffled(members, sizes, "comp", "left", n_large, 24)
     blocked = blocked.withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.col("blocks"))).cast("int"))
     tasks = F.when(F.col("blocks").isNotNull() & (F.col("block") == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    edges = common.cut(run(blocked.withColumn("label", F.col("u")).withColumn("task", F.explode(tasks).cast("long"))))
+    edges = common.cut(run(blocked.withColumn("label", F.col("u")).withColumn("task", F.explode(tasks.cast("array<long>")))))
     found = common.cut(components(edges))
     labelled = blocked.where("blocks > 1").join(found.withColumnsRenamed({"v": "u", "comp": "label"}), "u", "left").withColumn("label", F.coalesce("label", "u"))
     labelled = common.cut(labelled)
