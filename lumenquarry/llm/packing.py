@@ -118,8 +118,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_
 
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.concatenate([enc.ids(text.as_py()), end])
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.each(b.column(1).to_pylist()), strict=True):
+                ids = np.concatenate([ids, end])
                 held_ids.append(doc_id)
                 held.append(ids)
                 n += len(ids)

@@ -58,7 +58,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE, si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = width_of(tokenizer, end_id)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(tokenizer, end_id, t, width)[: 8 << 10] for t in b.column(0).to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(tokenizer, end_id, t, width) for t in b.column(0).to_pylist()], pa.binary())})
 
     rows = [bytes(r[0]) for r in docs.where(F.col("doc_id").isin(wanted)).orderBy("doc_id", "text").limit(sample).select("text").mapInArrow(run, "ids binary").collect()]
     try:
@@ -89,7 +89,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         width = width_of(tokenizer, end_id)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(held.value) if held.value else None, write_dict_id=False)
         for b in batches:
-            raws = [serialized(tokenizer, end_id, t, width) for t in b.column(1).to_pylist()]
+            raws = [np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes() for ids in encoder(tokenizer).each(b.column(1).to_pylist())]
             ids = b.column(0)
             shard = np.searchsorted(np.array(bounds, dtype=np.int64), np.array(ids.fill_null(-(1 << 63))), side="left")
             yield pa.RecordBatch.from_arrays([ids, pa.array(shard, pa.int32()), pa.array([len(r) // width for r in raws], pa.int64()), pa.array([packer.compress(r) for r in raws], pa.binary())], ["doc_id", "shard", "n", "frame"])

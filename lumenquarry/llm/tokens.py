@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 UNIT = re.compile(r"\s*\S+|\s+")
 WHOLE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\u2028\\u2029\\ufeff]|<\\|")
 #: Words of these letters and signs can be cut where letters end: the apostrophe, marks and other scripts are left out.
-SIMPLE = re.compile("\\s*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-@\\[-`{-~]+")
+SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-@\\[-`{-~]+")
 PART = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-@\\[-`{-~]+")
 #: Entries in one generation of a worker's table.
 HELD = 300_000
@@ -34,12 +35,13 @@ class Held:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def join(self, units: list[str]) -> bytes:
+    def fill(self, units: Iterable[str]) -> None:
+        """After this, all of these units are in the younger table."""
         young = self.young
-        if new := [u for u in dict.fromkeys(units) if u not in young]:
+        if new := set(units).difference(young):
             if len(young) + len(new) > self.most:
                 self.old, self.young = young, (young := {})
-                new = list(dict.fromkeys(units))
+                new = set(units)
             old, unknown = self.old, []
             for u in new:
                 if (v := old.get(u)) is None:
@@ -48,7 +50,9 @@ class Held:
                     young[u] = v
             if unknown:
                 young.update(zip(unknown, self.make(unknown), strict=True))
-        return b"".join(map(young.__getitem__, units))
+
+    def join(self, units: list[str]) -> bytes:
+        return b"".join(map(self.young.__getitem__, units))
 
 
 class Encoder:
@@ -59,7 +63,7 @@ class Encoder:
         self.units = Held(self.new_units)
 
     def new_units(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -70,7 +74,23 @@ class Encoder:
             return np.empty(0, dtype="<u4")
         if WHOLE.search(text):
             return self.whole(text)
-        return np.frombuffer(self.units.join(UNIT.findall(text)), dtype="<u4")
+        units = UNIT.findall(text)
+        self.units.fill(units)
+        return np.frombuffer(self.units.join(units), dtype="<u4")
+
+    def each(self, texts: list[str | None], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+        """ids of each text; the units of about at_once characters are looked up together."""
+        start = 0
+        while start < len(texts):
+            stop, n = start, 0
+            while stop < len(texts) and n < at_once:
+                n += len(texts[stop] or "")
+                stop += 1
+            cut = [None if t and WHOLE.search(t) else UNIT.findall(t or "") for t in texts[start:stop]]
+            self.units.fill(set().union(*(u for u in cut if u)))
+            for t, u in zip(texts[start:stop], cut, strict=True):
+                yield self.whole(t) if u is None else np.frombuffer(self.units.join(u), dtype="<u4")
+            start = stop
 
 
 class ByteEncoder(Encoder):
@@ -84,7 +104,7 @@ class ByteEncoder(Encoder):
 
     def new_units(self, units: list[str]) -> list[bytes]:
         encode = self.ranked.encode_ordinary
-        return [np.array(encode(u), dtype="<u4").tobytes() for u in units]
+        return [array("I", encode(u)).tobytes() for u in units]
 
 
 class WordEncoder(Encoder):
@@ -92,12 +112,12 @@ class WordEncoder(Encoder):
 
     def __init__(self, name: str) -> None:
         super().__init__(name)
-        self.parts = Held(super().new_units)
+        self.parts = Held(super().new_units, 2 * HELD)
 
     def new_units(self, units: list[str]) -> list[bytes]:
-        cut = [PART.findall(u.lower()) if SIMPLE.fullmatch(u) else [u] for u in units]
-        flat = [p for parts in cut for p in parts]
-        self.parts.join(flat)
+        words = [u.strip() for u in units]
+        cut = [[w.lower()] if w.isascii() and w.isalpha() else PART.findall(w.lower()) if SIMPLE.fullmatch(w) else [u] for u, w in zip(units, words, strict=True)]
+        self.parts.fill({p for parts in cut for p in parts})
         get = self.parts.young.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
 
