@@ -2,7 +2,7 @@
 
 A line is what stands between line feeds. It is normalised: lower case, without ASCII punctuation, its words joined by
 one space. Lines with fewer than `min_chars` normalised characters are left alone. Two lines are linked when their
-normalised forms are equal, or when their 128-bit SimHashes (over words) differ in at most DIFFER bits and the forms'
+normalised forms are equal, or when their 128-bit SimHashes (over pairs of words) differ in at most DIFFER bits and the forms'
 edit similarity, 1 - distance / longer length, is at least `similarity`. Of each connected group of lines over the whole
 corpus the first occurrence, by (doc_id, line number), stays; the others are dropped.
 
@@ -40,6 +40,8 @@ MIN_CHARS, DIFFER, SIMILARITY = 20, 3, 0.9
 TASK_LINES = 2048
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WORDS_AT_ONCE = 200_000
+#: The 8 bits of a byte, each in a byte of its own.
+LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
 
 
 def normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray, pa.Array]:
@@ -54,25 +56,35 @@ def normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray,
 
 
 def simhashes(words: pa.ListArray) -> np.ndarray:
-    """128 bits, as two columns of unsigned 64-bit integers, for each list of words; ties of a bit's votes give 0."""
-    coded = words.flatten().dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    votes = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in known), np.uint8).reshape(-1, 16), axis=1).astype(np.int8) * 2 - 1 if known else np.zeros((0, 128), np.int8)
-    for k, w in enumerate(known):
-        if w == "":
-            votes[k] = 0
-    index = coded.indices.to_numpy()
+    """128 bits, as two columns of unsigned 64-bit integers, for each list of words; ties of a bit's votes give 0.
+
+    A feature is a word with the one before it, so that very common words don't make all lines alike. The votes of 8
+    bits are added at once, as the bytes of a 64-bit integer, in runs of up to 255 features.
+    """
+    flat = words.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    coded = flat.dictionary_encode()
+    known = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    h = (known[coded.indices.to_numpy()] if len(known) else np.empty(0, np.uint64))[real]
     at = words.offsets.to_numpy().astype(np.int64)
-    at = at - at[0]
+    at = np.concatenate([[0], np.cumsum(real)])[at - at[0]]
+    before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
+    before[at[:-1][at[1:] > at[:-1]]] = 0
+    first = graph.mixed(h + graph.MIX * before)
+    features = np.stack([first, graph.mixed(first ^ graph.MIX)], axis=1).view(np.uint8)
     out = np.zeros((len(words), 16), np.uint8)
     start = 0
     while start < len(words):
-        stop = max(start + 1, int(np.searchsorted(at, at[start] + WORDS_AT_ONCE, side="right")) - 1)
-        stop = min(stop, len(words))
+        stop = min(max(start + 1, int(np.searchsorted(at, at[start] + WORDS_AT_ONCE, side="right")) - 1), len(words))
         filled = np.flatnonzero(at[start + 1 : stop + 1] > at[start:stop]) + start
         if len(filled):
-            sums = np.add.reduceat(votes[index[at[start] : at[stop]]], at[filled] - at[start], axis=0, dtype=np.int32)
-            out[filled] = np.packbits(sums > 0, axis=1)
+            size = at[filled + 1] - at[filled]
+            runs = -(-size // 255)
+            begin = np.concatenate([[0], np.cumsum(runs)[:-1]])
+            run_at = np.repeat(at[filled] - at[start], runs) + 255 * (np.arange(runs.sum()) - np.repeat(begin, runs))
+            votes = np.add.reduceat(LANES[features[at[start] : at[stop]]], run_at, axis=0).view(np.uint8)
+            total = np.add.reduceat(votes, begin, axis=0, dtype=np.int64)
+            out[filled] = np.packbits(2 * total > size[:, None], axis=1)
         start = stop
     return out.view(">u8").astype(np.uint64)
 
@@ -160,9 +172,10 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     """drop_doc and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
     common.arrow_batches(docs.sparkSession)
     seen = common.cut(occurrences(docs, min_chars))
-    unique = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
     clusters = common.cut(graph.components(graph.star_edges(unique.select("k1", "s1", "s2").mapInArrow(block_rows, graph.STAR))))
-    members = common.cut(unique.join(clusters, F.col("k1") == F.col("v")).select("k1", "k2", "s1", "s2", "at", "comp", F.monotonically_increasing_id().alias("u")))
+    met = common.small_or_shuffled(unique, clusters, F.col("k1") == F.col("v"), "inner", clusters.count(), 24)
+    members = common.cut(met.select("k1", "k2", "s1", "s2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = members.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct("at.line", "u", "comp", "s1", "s2", "k1", "k2")).alias("lines"))
     texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "inner", members.count(), 72)
 
@@ -184,9 +197,10 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     links = graph.linked(lines, link(similarity), TASK_LINES)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
-    named = grouped.join(first, "root").select("k1", "k2", "first")
-    decided = unique.select("k1", "k2", "at", "n").join(named, ["k1", "k2"], "left").where("n > 1 or first is not null").select("k1", "k2", F.coalesce("first", "at").alias("first"))
-    lost = seen.join(decided, ["k1", "k2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
+    named = common.cut(grouped.join(first, "root").select("k1", "k2", "first"))
+    known = common.small_or_shuffled(unique.select("k1", "k2", "at", "n"), named, ["k1", "k2"], "left", named.count(), 48)
+    decided = common.cut(known.where("n > 1 or first is not null").select("k1", "k2", F.coalesce("first", "at").alias("first")))
+    lost = common.small_or_shuffled(seen.select("doc_id", "line", "k1", "k2"), decided, ["k1", "k2"], "inner", decided.count(), 48).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
     return lost.groupBy(F.col("doc_id").alias("drop_doc")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 

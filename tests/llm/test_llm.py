@@ -288,6 +288,24 @@ def test_distance_against_the_table():
         assert lines.distance(a, b) == d[-1]
 
 
+def test_simhash_is_the_majority_of_the_features():
+    rows = [[f"a{k % 400}" for k in range(n)] for n in (1, 2, 3, 254, 255, 256, 700)] + [[]]
+    got = lines.simhashes(pa.array([[*r, ""] for r in rows]))
+    import xxhash
+
+    for r, g in zip(rows, got, strict=True):
+        votes = np.zeros(128, int)
+        last = np.uint64(0)
+        for w in r:
+            h = np.array([xxhash.xxh3_64_intdigest(w)], np.uint64)
+            one = graph.mixed(h + graph.MIX * np.array([last], np.uint64))
+            bits = np.unpackbits(np.stack([one, graph.mixed(one ^ graph.MIX)], axis=1).view(np.uint8), bitorder="little")
+            votes += bits.astype(int)
+            last = h[0]
+        want = np.packbits(2 * votes > len(r)).view(">u8").astype(np.uint64)
+        assert (g == want).all()
+
+
 def test_lines_against_brute_force(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").toPandas()
     row, _, words, normal = lines.normal_lines(pa.array(docs.text))
