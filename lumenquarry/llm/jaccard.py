@@ -13,7 +13,9 @@ one; without words: empty, linked with nothing). Two documents link when den * i
    down. A pair of nodes is pruned when the largest overlap that bitmaps and sizes allow is too small for the smallest
    sets, or when all their sets are connected already. What remains is decided on the exact sets.
 
-Clusters beyond a task's bound are cut into blocks (see graph.linked). Links are never collected.
+Clusters beyond a task's bound come from single shingles that many unlike texts share. They are first narrowed by trees
+over token bitmaps alone, of 2 to 4 bits a shingle: only sets whose largest possible overlap is enough stay together, and
+texts are sent for those only. What is too large still is cut into blocks (see graph.linked). Links are never collected.
 
 Null or empty text: n_shingles 0, its own component. Very long texts: whole. Repeated rows and ties: equal sets are one
 class, each row is returned. Null doc_id: a row; it never names a component unless all of a component's ids are null.
@@ -38,6 +40,8 @@ from . import common, graph
 LEAF, FAN = 8, 8
 #: Shingles of the sets that one task holds at once, about; a larger cluster is cut into blocks.
 TASK_SHINGLES = 1_500_000
+#: Bytes of the bitmaps that one task holds at once, about, where large clusters are narrowed.
+TASK_BYTES = 24 << 20
 SIZE_RATIO = 1.25
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,10 +137,20 @@ class Tree:
         for k, u in enumerate(sets):
             place = (u >> np.uint64(40)) & np.uint64(bits - 1)
             np.bitwise_or.at(maps[k], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        self.build(maps, LEAF)
+
+    @classmethod
+    def over(cls, maps: np.ndarray, size: np.ndarray, leaf: int) -> Tree:
+        """A tree over bitmaps of one width whose sets are elsewhere."""
+        tree = cls.__new__(cls)
+        tree.size = size
+        tree.build(maps, leaf)
+        return tree
+
+    def build(self, maps: np.ndarray, width: int) -> None:
         excess = self.size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
         self.levels = [(maps, self.size, self.size, excess)]
         self.reach = [1]
-        width = LEAF
         while len(self.levels[-1][1]) > 1:
             maps, low, high, excess = self.levels[-1]
             at = np.arange(0, len(low), width)
@@ -194,6 +208,56 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) ->
     return out
 
 
+def bitmap(u: np.ndarray) -> np.ndarray:
+    """A set's token bitmap: as many bits as the power of two from twice its size on, 64 at least."""
+    bits = max(64, 1 << (2 * len(u) - 1).bit_length())
+    place = np.unique((u >> np.uint64(40)) & np.uint64(bits - 1))
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def narrowed(maps: list[np.ndarray], size: np.ndarray, labels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Labels that are equal for sets connected by pairs whose bitmaps and sizes allow a link.
+
+    For each width of bitmaps a tree is traversed against itself, its sets ordered by size: those of this width and those
+    of wider bitmaps, folded, that are small enough to be linked with one of them.
+    """
+    label = labels.astype(np.int64)
+    width = np.array([len(m) for m in maps])
+    for w in np.unique(width).tolist():
+        most = size[width == w].max()
+        at = np.flatnonzero((width == w) | ((width > w) & (size * num <= most * den)))
+        at = at[np.argsort(size[at], kind="stable")]
+        folded = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, w)) for k in at])
+        tree = Tree.over(folded, size[at], int(np.clip((1 << 15) // w, 8, 64)))
+        stack = [(len(tree.levels) - 1, 0, 0)]
+        while stack:
+            level, i, j = stack.pop()
+            r = tree.reach[level]
+            one, two = label[at[i * r : (i + 1) * r]], label[at[j * r : (j + 1) * r]]
+            if one[0] == two[0] and (one == one[0]).all() and (two == one[0]).all():
+                continue
+            if level == 0:
+                label[label == two[0]] = one[0]
+                continue
+            inner = tree.reach[level - 1]
+            a = np.arange(i * r // inner, min((i + 1) * r // inner, -(-len(at) // inner)))
+            b = np.arange(j * r // inner, min((j + 1) * r // inner, -(-len(at) // inner)))
+            keep = tree.open(level - 1, a, b, num, den)
+            if i == j:
+                keep &= a[:, None] < b[None, :] if level == 1 else a[:, None] <= b[None, :]
+            x, y = np.nonzero(keep)
+            if level > 1:
+                stack.extend((level - 1, int(p), int(q)) for p, q in zip(a[x], b[y], strict=True))
+                continue
+            x, y = at[a[x]], at[b[y]]
+            while len(differ := np.flatnonzero(label[x] != label[y])):
+                x, y = x[differ], y[differ]
+                label[label == label[y[0]]] = label[x[0]]
+    return label
+
+
 def classes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, d1, d2 (the set's digest), n and uid of every row, kept in the shared folder."""
 
@@ -235,8 +299,9 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     each = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("u"), F.min("n").alias("n"))
     clusters = candidate_clusters(docs, words, num, den)
     wanted = common.cut(each.join(clusters, F.col("d1") == F.col("v")).select("d1", "d2", F.col("first").alias("_first"), "u", F.col("n").alias("weight"), "comp"))
-    n_wanted = wanted.count()
-    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_first")), "inner", n_wanted, 64)
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        return common.small_or_shuffled(docs.select("doc_id", "text"), asked, F.col("doc_id").eqNullSafe(F.col("_first")), "inner", asked.count(), 64).select("text", "d1", "d2", "u", "weight", "comp")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose text has the digest that was asked for: a doc_id can stand for several texts."""
@@ -246,7 +311,25 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
             keep = pa.array([x == y for x, y in zip(d, want, strict=True)], pa.bool_())
             yield b.select(["u", "weight", "comp", "text"]).filter(keep)
 
-    found = texts.select("text", "d1", "d2", "u", "weight", "comp").mapInArrow(checked, "u long, weight long, comp long, text string").dropDuplicates(["u"])
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(0), words)
+            want = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            keep = [k for k, (u, w) in enumerate(zip(sets, want, strict=True)) if digest(u) == w]
+            maps = [bitmap(sets[k]).tobytes() for k in keep]
+            of = b.select(["u", "comp"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array([len(m) + 64 for m in maps], pa.int64()), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array(maps, pa.binary())], ["u", "comp", "weight", "n", "bits"])
+
+    def narrow(table: pa.Table, labels: np.ndarray) -> np.ndarray:
+        return narrowed([np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()], table["n"].to_numpy(), labels, num, den)
+
+    large = common.cut(wanted.groupBy("comp").agg(F.sum("weight").alias("w")).where(F.col("w") > TASK_SHINGLES).select("comp"))
+    if n_large := large.count():
+        asked = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_semi", n_large, 16))
+        maps = texts_of(asked).mapInArrow(bitmaps, "u long, comp long, weight long, n long, bits binary").dropDuplicates(["u"])
+        closer = asked.drop("comp").join(graph.linked(maps, narrow, TASK_BYTES).withColumnRenamed("root", "comp"), "u")
+        wanted = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_anti", n_large, 16).unionByName(closer))
+    found = texts_of(wanted).mapInArrow(checked, "u long, weight long, comp long, text string").dropDuplicates(["u"])
 
     def link(table: pa.Table, labels: np.ndarray) -> np.ndarray:
         return tree_join(shingle_sets(table["text"].combine_chunks(), words), labels, num, den)

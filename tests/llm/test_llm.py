@@ -114,8 +114,11 @@ def brute_links(texts, words, num, den):
     return [find(k) for k in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
-def test_jaccard_against_brute_force(spark, words, num):
+@pytest.mark.parametrize(("words", "num", "large"), [(3, 90, False), (5, 80, False), (3, 90, True), (5, 80, True)])
+def test_jaccard_against_brute_force(spark, monkeypatch, words, num, large):
+    if large:  # every cluster is narrowed by bitmaps, and cut into blocks both times
+        monkeypatch.setattr(jaccard, "TASK_SHINGLES", 20)
+        monkeypatch.setattr(jaccard, "TASK_BYTES", 300)
     rng = np.random.default_rng(words)
     texts = []
     for n in (3, 6, 10, 14, 25, 60, 200):
@@ -132,6 +135,26 @@ def test_jaccard_against_brute_force(spark, words, num):
     assert [r.n_shingles for r in got] == sizes
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (30, 100)])
+def test_narrowing_by_bitmaps_loses_no_link(num, den):
+    rng = np.random.default_rng(num)
+    sets = []
+    for n in (1, 2, 31, 33, 60, 100, 130, 500, 1025):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for drop in (0, 1, n // 9, n // 5, n // 2, 2 * n // 3):
+            sets.append(np.unique(base[: max(1, n - drop)]))
+        sets.append(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)))
+    size = np.array([len(u) for u in sets])
+    label = jaccard.narrowed([jaccard.bitmap(u) for u in sets], size, np.arange(len(sets)), num, den)
+    for i in range(len(sets)):
+        for j in range(i):
+            same = jaccard.overlap(sets[i], sets[j])
+            if den * same >= num * (size[i] + size[j] - same):
+                assert label[i] == label[j]
+    if num == 80:  # unlike sets are told apart; at 0.3 bitmaps of this width can't
+        assert len(set(label[np.flatnonzero(size >= 1025)])) == 2
+
+
 def test_large_clusters_are_cut_into_blocks_and_still_joined(spark):
     rows = spark.createDataFrame([(7, k, 1, k) for k in range(200)] + [(8, 1000 + k, 1, 5000 + 10 * k) for k in range(3)], "comp long, u long, weight long, x long")
 
