@@ -40,6 +40,8 @@ from . import common, graph
 LEAF, FAN = 8, 8
 #: Shingles of the sets that one task holds at once, about; a larger cluster is cut into blocks.
 TASK_SHINGLES = 1_500_000
+#: Bytes of text whose words are held at once, about; a longer text is taken alone.
+TEXT_BYTES = 2 << 20
 #: Bytes of the bitmaps that one task holds at once, about, where large clusters are narrowed.
 TASK_BYTES = 24 << 20
 SIZE_RATIO = 1.25
@@ -59,7 +61,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """Each text's set as sorted 64-bit hashes."""
+    """Each text's set as sorted 64-bit hashes, TEXT_BYTES of texts at a time."""
+    block = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+    starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    return [u for s, e in zip(starts[:-1], starts[1:], strict=True) for u in sets_of(texts.slice(s, e - s), words)]
+
+
+def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
     h, at = word_hashes(texts)
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for j in range(words):
