@@ -65,6 +65,10 @@ class Encoder:
     def new_units(self, units: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
+    def cut(self, text: str) -> list[str] | None:
+        """The units of a text; none for a text that is encoded whole."""
+        return None if WHOLE.search(text) else UNIT.findall(text)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -72,9 +76,8 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of a whole text; none for a null text."""
         if not text:
             return np.empty(0, dtype="<u4")
-        if WHOLE.search(text):
+        if (units := self.cut(text)) is None:
             return self.whole(text)
-        units = UNIT.findall(text)
         self.units.fill(units)
         return np.frombuffer(self.units.join(units), dtype="<u4")
 
@@ -86,7 +89,7 @@ class Encoder:
             while stop < len(texts) and n < at_once:
                 n += len(texts[stop] or "")
                 stop += 1
-            cut = [None if t and WHOLE.search(t) else UNIT.findall(t or "") for t in texts[start:stop]]
+            cut = [self.cut(t or "") for t in texts[start:stop]]
             self.units.fill(set().union(*(u for u in cut if u)))
             for t, u in zip(texts[start:stop], cut, strict=True):
                 yield self.whole(t) if u is None else np.frombuffer(self.units.join(u), dtype="<u4")
@@ -112,11 +115,31 @@ class WordEncoder(Encoder):
 
     def __init__(self, name: str) -> None:
         super().__init__(name)
-        self.parts = Held(super().new_units, 2 * HELD)
+        self.parts = Held(self.new_parts, 2 * HELD)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+
+    def new_parts(self, parts: list[str], at_once: int = 2048) -> list[bytes]:
+        """Words of letters are encoded many at once; each ends at the only id of a word's end."""
+        found, letters = {}, [p for p in parts if p.isalpha()]
+        for k in range(0, len(letters), at_once):
+            some = letters[k : k + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(stops) == len(some):  # else the library sees several words in one of them
+                raw = ids.tobytes()
+                found.update((w, raw[s:e]) for w, s, e in zip(some, [0, *stops], stops))
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, super().new_units(rest), strict=True))
+        return [found[p] for p in parts]
+
+    def cut(self, text: str) -> list[str] | None:
+        """White space is dropped, so a unit is a word without it; capitals of ASCII texts fall before the look-up."""
+        return None if WHOLE.search(text) else (text.lower() if text.isascii() else text).split()
 
     def new_units(self, units: list[str]) -> list[bytes]:
-        words = [u.strip() for u in units]
-        cut = [[w.lower()] if w.isascii() and w.isalpha() else PART.findall(w.lower()) if SIMPLE.fullmatch(w) else [u] for u, w in zip(units, words, strict=True)]
+        cut = [[w.lower()] if w.isascii() and w.isalpha() else PART.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in units]
         self.parts.fill({p for parts in cut for p in parts})
         get = self.parts.young.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
@@ -131,3 +154,8 @@ def encoder(name: str) -> Encoder:
         kind = ByteEncoder if name.startswith("byte_") else WordEncoder if name.startswith("word_") else Encoder
         _ENCODERS[name] = kind(name)
     return _ENCODERS[name]
+
+
+def forget() -> None:
+    """Drops this process's encoders and their tables."""
+    _ENCODERS.clear()
