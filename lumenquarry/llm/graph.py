@@ -78,7 +78,7 @@ def star_edges(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(s_u[multi]), pa.array(root[multi])], ["b", "a"])
 
         placed = rows.repartition(n, "comp", "task").sortWithinPartitions("comp", "task", "u")
-        return placed.select("comp", "task", "label", *[c for c in cols if c != "comp"]).mapInArrow(lambda batches: common.by_group(batches, ["comp", "task"], give), "b long, a long")
+        return placed.select("comp", "task", "label", *[c for c in cols if c != "comp"]).mapInArrow(common.lean(lambda batches: common.by_group(batches, ["comp", "task"], give)), "b long, a long")
 
     if n_large == 0:
         edges = common.cut(run(members.withColumns({"task": F.lit(0).cast("long"), "label": F.col("u")})))

@@ -275,7 +275,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
             d = [digest(u) for u in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(u) for u in sets], pa.int64())], ["doc_id", "d1", "d2", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n long")
+    rows = docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, d1 long, d2 long, n long")
     return common.cut(rows.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -295,7 +295,7 @@ def candidate_clusters(docs: DataFrame, words: int, num: int, den: int) -> DataF
             if keys:
                 yield graph.local_star(np.concatenate(keys).view(np.int64), np.concatenate(ids))
 
-    rows = docs.select("text").mapInArrow(run, graph.STAR)
+    rows = docs.select("text").mapInArrow(common.lean(run), graph.STAR)
     return common.cut(graph.components(graph.star_edges(rows)))
 
 
@@ -334,10 +334,10 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     large = common.cut(wanted.groupBy("comp").agg(F.sum("weight").alias("w")).where(F.col("w") > TASK_SHINGLES).select("comp"))
     if n_large := large.count():
         asked = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_semi", n_large, 16))
-        maps = texts_of(asked).mapInArrow(bitmaps, "u long, comp long, weight long, n long, bits binary").dropDuplicates(["u"])
+        maps = texts_of(asked).mapInArrow(common.lean(bitmaps), "u long, comp long, weight long, n long, bits binary").dropDuplicates(["u"])
         closer = asked.drop("comp").join(graph.linked(maps, narrow, TASK_BYTES).withColumnRenamed("root", "comp"), "u")
         wanted = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_anti", n_large, 16).unionByName(closer))
-    found = texts_of(wanted).mapInArrow(checked, "u long, weight long, comp long, text string").dropDuplicates(["u"])
+    found = texts_of(wanted).mapInArrow(common.lean(checked), "u long, weight long, comp long, text string").dropDuplicates(["u"])
 
     def link(table: pa.Table, labels: np.ndarray) -> np.ndarray:
         return tree_join(shingle_sets(table["text"].combine_chunks(), words), labels, num, den)

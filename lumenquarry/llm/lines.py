@@ -139,7 +139,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
             k = np.array([key_of(x) for x in normal.take(pa.array(take)).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), *[pa.array(x[:, j]) for x in (k, s) for j in (0, 1)]], ["doc_id", "line", "k1", "k2", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, k1 long, k2 long, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, line long, k1 long, k2 long, s1 long, s2 long")
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     common.arrow_batches(docs.sparkSession)
     seen = common.cut(occurrences(docs, min_chars))
     unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    clusters = common.cut(graph.components(graph.star_edges(unique.select("k1", "s1", "s2").mapInArrow(block_rows, graph.STAR))))
+    clusters = common.cut(graph.components(graph.star_edges(unique.select("k1", "s1", "s2").mapInArrow(common.lean(block_rows), graph.STAR))))
     met = common.small_or_shuffled(unique, clusters, F.col("k1") == F.col("v"), "inner", clusters.count(), 24)
     members = common.cut(met.select("k1", "k2", "s1", "s2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = members.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct("at.line", "u", "comp", "s1", "s2", "k1", "k2")).alias("lines"))
@@ -193,7 +193,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
             if rows:
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]], pa.array([r[5] for r in rows], pa.string())], ["u", "comp", "weight", "s1", "s2", "text"])
 
-    lines = texts.select("text", "lines").mapInArrow(fetch, "u long, comp long, weight long, s1 long, s2 long, text string").dropDuplicates(["u"])
+    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "u long, comp long, weight long, s1 long, s2 long, text string").dropDuplicates(["u"])
     links = graph.linked(lines, link(similarity), TASK_LINES)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
