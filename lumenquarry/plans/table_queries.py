@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import interval_half_width, micros
-from ..operators import clean, grid, rays, series, timejoin
+from ..operators import clean, grid, project, rays, series, timejoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -400,3 +400,36 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
     named = lambda x, op: x.withColumn("op", F.lit(op))
     return named(c.union(s).distinct(), "union").union(named(c.intersect(s), "intersect")).union(named(n.exceptAll(s.distinct()), "except"))
+
+
+@query("""with p as (select o_orderkey, (o_orderkey % 256)::int u, (o_custkey % 192)::int v, o_totalprice * 0.00005::double z, (o_orderkey % 3)::int c from orders)
+select o_orderkey, round((u - 128) * z / 212.5, 9) x, round((v - 96) * z / 212.5, 9) y, round(z, 9) z from p where z between 0.1 and 6 and c >= 1""")
+def back_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pixels of a depth grid, with intrinsics scaled from a larger image"""
+    o = table(spark, d, "orders")
+    px = o.select("o_orderkey", F.pmod("o_orderkey", F.lit(256)).cast("int").alias("u"), F.pmod("o_custkey", F.lit(192)).cast("int").alias("v"), F.col("o_totalprice").alias("raw"), F.pmod("o_orderkey", F.lit(3)).alias("confidence"))
+    px = px.withColumns({"fx": F.lit(1593.75), "fy": F.lit(1593.75), "cx": F.lit(960.0), "cy": F.lit(720.0)})
+    seen = project.back_projected(project.depth_intrinsics(px, (1920, 1440), (256, 192)), 0.00005, 0.1, 6.0, 1)
+    return seen.select("o_orderkey", *[F.round(a, 9).alias(a) for a in "xyz"])
+
+
+@query(f"with {P} select vec_id, round(1 - z, 9) x, round(2 + x, 9) y, round(3 - y, 9) z from p")
+def pose_transform(spark: SparkSession, d: str) -> DataFrame:
+    """A pose whose rotation turns x to y, y to z and z to x, of a camera whose y is up"""
+    posed = points(spark, d).withColumns({"px": F.lit(1.0), "py": F.lit(2.0), "pz": F.lit(3.0), **{q: F.lit(0.5) for q in project.Q}})
+    return project.to_world(posed).select("vec_id", *[F.round(a, 9).alias(a) for a in "xyz"])
+
+
+@query(f"with {P} select vec_id, round(0.6 * (x - 1) + 0.8 * (z - 1), 9) h from p where 0.6 * (x - 1) + 0.8 * (z - 1) between -1.4 and -1.2")
+def height_band(spark: SparkSession, d: str) -> DataFrame:
+    """Heights over a floor, in a closed band"""
+    local = project.to_local(points(spark, d), (1.0, 1.0, 1.0), (0.6, 0.0, 0.8))
+    return local.where(F.col("h").between(-1.4, -1.2)).select("vec_id", F.round("h", 9).alias("h"))
+
+
+@query(f"""with {P} select label, round(covar_samp(x, x), 9) s_xx, round(covar_samp(x, y), 9) s_xy, round(covar_samp(x, z), 9) s_xz, round(covar_samp(y, y), 9) s_yy,
+round(covar_samp(y, z), 9) s_yz, round(covar_samp(z, z), 9) s_zz, round(avg(x), 9) m_x, round(avg(y), 9) m_y, round(avg(z), 9) m_z, count(*) n from p group by 1""")
+def covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances of each group's points, the sums of a plane's fit"""
+    c = project.covariance(points(spark, d), ["label"])
+    return c.withColumns({k: F.round(k, 9) for k in c.columns if k[:2] in ("s_", "m_")})
