@@ -1,16 +1,19 @@
-"""Operator 9, line dedup: fuzzy lines by SimHash, pigeonhole blocks and edit similarity.
+"""Operator 9, line dedup: fuzzy lines by MinHash bands over character grams and edit similarity.
 
 A line is what stands between line feeds. It is normalised: lower case, without ASCII punctuation, its words joined by
 one space. Lines with fewer than `min_chars` normalised characters are left alone. Two lines are linked when their
-normalised forms are equal, or when their 128-bit SimHashes (over pairs of words) differ in at most DIFFER bits and the forms'
-edit similarity, 1 - distance / longer length, is at least `similarity`. Of each connected group of lines over the whole
-corpus the first occurrence, by (doc_id, line number), stays; the others are dropped.
+normalised forms are equal, or when they meet as candidates and the forms' edit similarity, 1 - distance / longer
+length, is at least `similarity`. Of each connected group of lines over the whole corpus the first occurrence, by
+(doc_id, line number), stays; the others are dropped.
 
 1. Occurrences with a 128-bit key of the normalised form, kept in the shared folder; equal forms meet by a
    pre-aggregated minimum, so a very common line is one row for each task.
-2. DIFFER + 1 blocks of a SimHash's bits: lines that differ in at most DIFFER bits share one. Different lines that share
-   a block form candidate clusters through star edges; no pairs are listed.
-3. In a cluster the lines' texts are fetched and pairs within DIFFER bits, not yet connected, are verified.
+2. BANDS keys of a form, each of ROWS minima over its GRAM-byte grams: two forms whose grams have Jaccard similarity J
+   share one with probability 1 - (1 - J ** ROWS) ** BANDS, which is 0.994 at 0.72 and 0.53 at 0.5. So the search is
+   not exact: pairs at the least similarity whose edits are scattered over all words can be missed (figures: README).
+   Different lines that share a key form candidate clusters through star edges; no pairs are listed.
+3. In a cluster the lines' texts are fetched and all pairs that aren't yet connected are verified: an edit changes at
+   most `q` grams of `q` characters, so pairs whose gram counts differ by more need no distance; no link is lost there.
 
 The decisions, a list of line numbers for each document that loses any, are joined with the texts: by broadcast while
 their counted size is small, by a shuffle beyond that.
@@ -35,11 +38,22 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-MIN_CHARS, DIFFER, SIMILARITY = 20, 3, 0.9
+MIN_CHARS, SIMILARITY = 20, 0.9
+#: Bits of the SimHash in which linked lines may differ: all 128, for no bound on them follows from an edit similarity.
+DIFFER = 128
+#: Bytes of a gram, minima of a key, keys of a line.
+GRAM, ROWS, BANDS = 6, 5, 24
+#: Characters and cells of the counts that are compared before a distance is computed.
+COUNTED, CELLS = 3, 256
 #: Lines that one task verifies at once; a larger cluster is cut into blocks.
 TASK_LINES = 2048
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WORDS_AT_ONCE = 200_000
+GRAMS_AT_ONCE = 1 << 16
+#: Bits of a bucket of band keys, 40 bits of a line's key, and a pair of 40-bit numbers.
+BUCKET_BITS, LINE = 12, np.uint64((1 << 40) - 1)
+PAIR = np.dtype([("x", "<u4"), ("x_top", "u1"), ("y", "<u4"), ("y_top", "u1")])
+FACTORS = (graph.mixed(np.arange(1, ROWS * BANDS + 1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: The 8 bits of a byte, each in a byte of its own.
 LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
 
@@ -126,44 +140,140 @@ def similar(a: str, b: str, least: float) -> bool:
     return longer == 0 or (abs(len(a) - len(b)) <= (1 - least) * longer + 1e-9 and 1 - distance(a, b) / longer >= least)
 
 
+def mixed32(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of unsigned 32-bit integers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def band_keys(normal: pa.Array) -> np.ndarray:
+    """A row of BANDS keys for each form. A form is followed by zeros, so it has as many grams as bytes, and at least one."""
+    big = pa.large_binary()
+    padded = pc.binary_join_element_wise(normal.cast(big), pa.scalar(b"\0" * GRAM, big), pa.scalar(b"", big))
+    at = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset : padded.offset + len(padded) + 1]
+    data = np.frombuffer(padded.buffers()[2], np.uint8)
+    out = np.empty((len(padded), BANDS), np.uint64)
+    start = 0
+    while start < len(padded):
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + GRAMS_AT_ONCE, side="right")) - 1)
+        part = data[at[start] : at[stop]].astype(np.uint32)
+        grams = np.zeros(len(part) - GRAM + 1, np.uint32)
+        for j in range(GRAM):
+            grams = grams * np.uint32(0x01000193) + part[j : j + len(grams)]
+        grams = mixed32(grams)
+        # each form's grams, without those that begin in its zeros but for the first
+        edges = np.stack([at[start:stop], np.maximum(at[start + 1 : stop + 1] - GRAM, at[start:stop] + 1)], axis=1).ravel() - at[start]
+        for band in range(BANDS):
+            key = np.full(stop - start, band, np.uint64)
+            for f in FACTORS[band * ROWS : (band + 1) * ROWS]:
+                key = graph.mixed(key * graph.MIX + np.minimum.reduceat(grams * f, edges)[::2])
+            out[start:stop, band] = key
+        start = stop
+    return out
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line, k1, k2, s1, s2 of every line that isn't left alone."""
+    """doc_id, line, k1, k2 of every line that isn't left alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, number, words, normal = normal_lines(b.column(1))
+            row, number, _, normal = normal_lines(b.column(1))
             take = np.flatnonzero(pc.greater_equal(pc.utf8_length(normal), min_chars).to_numpy(zero_copy_only=False))
             if not len(take):
                 continue
-            s = simhashes(words.take(pa.array(take))).view(np.int64)
             k = np.array([key_of(x) for x in normal.take(pa.array(take)).to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), *[pa.array(x[:, j]) for x in (k, s) for j in (0, 1)]], ["doc_id", "line", "k1", "k2", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), *[pa.array(k[:, j]) for j in (0, 1)]], ["doc_id", "line", "k1", "k2"])
+
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, line long, k1 long, k2 long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, line long, k1 long, k2 long, s1 long, s2 long")
+def packed(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, by a mix of x, of the pairs' lower 40 bits, 10 bytes a pair."""
+    bucket = graph.mixed(x) >> np.uint64(64 - BUCKET_BITS)
+    order = np.argsort(bucket, kind="stable")
+    pairs = np.empty(len(x), PAIR)
+    for name, z in (("x", x[order]), ("y", y[order])):
+        pairs[name], pairs[f"{name}_top"] = z & np.uint64(0xFFFFFFFF), z >> np.uint64(32) & np.uint64(0xFF)
+    found, first = np.unique(bucket[order], return_index=True)
+    at = np.append(first, len(x)).astype(np.int32) * PAIR.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(at), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), kind, np.int64)), data], ["bucket", "kind", "data"])
 
 
-def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v, s = b.column(0).to_numpy(), [b.column(k).to_numpy().view(np.uint64) for k in (1, 2)]
-        width = 128 // (DIFFER + 1)
-        keys = [graph.mixed((s[j * width // 64] >> np.uint64(j * width % 64) & np.uint64((1 << width) - 1)) + np.uint64(j << 40)) for j in range(DIFFER + 1)]
-        yield graph.local_star(np.concatenate(keys).view(np.int64), np.tile(v, DIFFER + 1))
+def unpacked(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(b"".join(data.to_pylist()), PAIR)
+    return tuple(pairs[f"{z}_top"].astype(np.int64) << 32 | pairs[z] for z in "xy")
+
+
+def band_edges(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Edges (a, b) that connect all lines of a band key; a line is known by the lower 40 bits of its k1.
+
+    What is shuffled are packed pairs of a key and a line. A key that lines of a batch share leaves with one of them; the
+    others leave as edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            normal = normal_lines(b.column(0))[3]
+            normal = normal.filter(pc.greater_equal(pc.utf8_length(normal), min_chars)).unique()
+            if not len(normal):
+                continue
+            v = np.array([key_of(x)[0] for x in normal.to_pylist()], dtype=np.int64).view(np.uint64)
+            key, v = band_keys(normal).ravel(), np.repeat(v & LINE, BANDS)
+            order = np.argsort(key)
+            key, v = key[order], v[order]
+            new = np.append(True, key[1:] != key[:-1])
+            yield packed(0, key[new], v[new])
+            a, b = graph.pairs_once(v[new][np.cumsum(new) - 1][~new], v[~new])
+            if len(a):
+                yield packed(1, a, b)
+
+    def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = unpacked(table["data"])
+        if table["kind"][0].as_py() == 0:
+            order = np.argsort(a, kind="stable")
+            key, v = a[order], b[order]
+            new = np.append(True, key[1:] != key[:-1])
+            a, b = v[new][np.cumsum(new) - 1], v
+        a, b = graph.pairs_once(a, b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").mapInArrow(common.lean(run), "bucket long, kind long, data binary").repartition(n, "bucket", "kind").sortWithinPartitions("bucket", "kind")
+    return rows.mapInArrow(common.lean(lambda batches: common.by_group(batches, ["bucket", "kind"], give)), "a long, b long").distinct()
+
+
+def gram_counts(lines: list[str]) -> np.ndarray:
+    """For each line how many of its grams of COUNTED characters fall into each of CELLS cells."""
+    out = np.zeros((len(lines), CELLS), np.int32)
+    for k, x in enumerate(lines):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        h = np.zeros(max(len(c) - COUNTED + 1, 0), np.uint32)
+        for j in range(COUNTED):
+            h = h * np.uint32(0x01000193) + c[j : j + len(h)]
+        out[k] = np.bincount(mixed32(h) % np.uint32(CELLS), minlength=CELLS)
+    return out
 
 
 def link(similarity: float):
     def run(table: pa.Table, labels: np.ndarray) -> np.ndarray:
-        s1, s2 = (table[c].to_numpy().view(np.uint64) for c in ("s1", "s2"))
-        order = np.lexsort((s2, s1))
-        s1, s2, label = s1[order], s2[order], labels[order].astype(np.int64)
-        line = table["text"].combine_chunks().take(pa.array(order)).to_pylist()
+        label = labels.astype(np.int64)
+        line = table["text"].to_pylist()
+        size, counts = np.array([len(x) for x in line]), gram_counts(line)
         for i in range(len(line) - 1):
-            near = np.bitwise_count(s1[i] ^ s1[i + 1 :]) + np.bitwise_count(s2[i] ^ s2[i + 1 :]) <= DIFFER
-            for j in (np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1).tolist():
+            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            edits = (1 - similarity) * np.maximum(size[rest], size[i]) + 1e-6
+            near = np.abs(size[rest] - size[i]) <= edits
+            rest, edits = rest[near], edits[near]
+            differ = counts[rest] - counts[i]
+            more = np.maximum(differ, 0).sum(axis=1)
+            rest = rest[np.maximum(more, more - differ.sum(axis=1)) <= COUNTED * edits]
+            for j in rest.tolist():
                 if label[i] != label[j] and similar(line[i], line[j], similarity):
                     label[label == label[j]] = label[i]
-        out = np.empty_like(label)
-        out[order] = label
-        return out
+        return label
 
     return run
 
@@ -172,11 +282,11 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     """drop_doc and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
     common.arrow_batches(docs.sparkSession)
     seen = common.cut(occurrences(docs, min_chars))
-    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    clusters = common.cut(graph.components(graph.star_edges(unique.select("k1", "s1", "s2").mapInArrow(common.lean(block_rows), graph.STAR))))
-    met = common.small_or_shuffled(unique, clusters, F.col("k1") == F.col("v"), "inner", clusters.count(), 24)
-    members = common.cut(met.select("k1", "k2", "s1", "s2", "at", "comp", F.monotonically_increasing_id().alias("u")))
-    wanted = members.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct("at.line", "u", "comp", "s1", "s2", "k1", "k2")).alias("lines"))
+    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
+    clusters = common.cut(graph.components(band_edges(docs, min_chars)))
+    met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
+    members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
+    wanted = members.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct("at.line", "u", "comp", "k1", "k2")).alias("lines"))
     texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "inner", members.count(), 72)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +299,11 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
                 for x in lines:
                     place = int(at[k]) + x["line"]
                     if place < at[k + 1] and key_of(text := normal[place].as_py()) == (x["k1"], x["k2"]):
-                        rows.append((x["u"], x["comp"], 1, x["s1"], x["s2"], text))
+                        rows.append((x["u"], x["comp"], 1, text))
             if rows:
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]], pa.array([r[5] for r in rows], pa.string())], ["u", "comp", "weight", "s1", "s2", "text"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]], pa.array([r[3] for r in rows], pa.string())], ["u", "comp", "weight", "text"])
 
-    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "u long, comp long, weight long, s1 long, s2 long, text string").dropDuplicates(["u"])
+    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "u long, comp long, weight long, text string").dropDuplicates(["u"])
     links = graph.linked(lines, link(similarity), TASK_LINES)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))

@@ -352,6 +352,24 @@ def test_lines_against_brute_force(spark, sf_dir):
     assert (got.n_dropped.to_numpy() == want).all() and want.sum() > 0
 
 
+def test_lines_with_a_replaced_word_are_found(spark):
+    """Recall against brute force on edit similarity alone."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(400)]
+    texts = []
+    for n in (10, 20, 40, 60, 100):
+        for _ in range(60):
+            one = rng.choice(vocabulary, n).tolist()
+            two = [*one]
+            two[int(rng.integers(n))] = str(rng.choice(vocabulary))
+            texts += [" ".join(one), " ".join(two)]
+    pairs = [lines.similar(a, b, lines.SIMILARITY) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r[0] for r in lines.dedup_lines(rows).where("n_dropped > 0").select("doc.doc_id").collect()}
+    assert gone <= {2 * k + 1 for k, x in enumerate(pairs) if x}
+    assert sum(pairs) > 250 and len(gone) >= 0.98 * sum(pairs)
+
+
 # --- 10 ---
 def test_leaves_are_even_and_slots_gapless(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"), F.lit("en").alias("lang"), (F.col("id") % 17 + 1).alias("size"))
