@@ -19,6 +19,7 @@ texts are sent for those only. What is too large still is cut into blocks (see g
 
 Null or empty text: n_shingles 0, its own component. Very long texts: whole. Repeated rows and ties: equal sets are one
 class, each row is returned. Null doc_id: a row; it never names a component unless all of a component's ids are null.
+Rows that share a doc_id, or have none, are told apart by a 64-bit hash of the text.
 Empty table: no rows. Extra columns are ignored by `components`; `one_of_each` returns them as they were.
 """
 
@@ -267,15 +268,15 @@ def narrowed(maps: list[np.ndarray], size: np.ndarray, labels: np.ndarray, num:
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, d1, d2 (the set's digest), n and uid of every row, kept in the shared folder."""
+    """doc_id, hash (of the text), d1, d2 (the set's digest), n and uid of every row, kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b.column(1), words)
             d = [digest(u) for u in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(u) for u in sets], pa.int64())], ["doc_id", "d1", "d2", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(u) for u in sets], pa.int64())], ["doc_id", "hash", "d1", "d2", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, d1 long, d2 long, n long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(common.lean(run), "doc_id long, hash long, d1 long, d2 long, n long")
     return common.cut(rows.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -300,19 +301,22 @@ def candidate_clusters(docs: DataFrame, words: int, num: int, den: int) -> DataF
 
 
 def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, d1 and d2 of every row of docs."""
+    """doc_id, n_shingles, component_id, d1, d2, hash (of the text) and group of every row of docs.
+
+    Rows of a component, and no others, have the same group; it is null for rows without words.
+    """
     spark = docs.sparkSession
     common.arrow_batches(spark)
     rows = classes(docs, words)
-    each = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("u"), F.min("n").alias("n"))
+    each = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "hash")).alias("at"), F.min("uid").alias("u"), F.min("n").alias("n"))
     clusters = candidate_clusters(docs, words, num, den)
-    wanted = common.cut(each.join(clusters, F.col("d1") == F.col("v")).select("d1", "d2", F.col("first").alias("_first"), "u", F.col("n").alias("weight"), "comp"))
+    wanted = common.cut(each.join(clusters, F.col("d1") == F.col("v")).select("d1", "d2", F.col("at.doc_id").alias("_first"), F.col("at.hash").alias("_hash"), "u", F.col("n").alias("weight"), "comp"))
 
     def texts_of(asked: DataFrame) -> DataFrame:
-        return common.small_or_shuffled(docs.select("doc_id", "text"), asked, F.col("doc_id").eqNullSafe(F.col("_first")), "inner", asked.count(), 64).select("text", "d1", "d2", "u", "weight", "comp")
+        return common.small_or_shuffled(docs.select("doc_id", "text"), asked, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_hash")), "inner", asked.count(), 72).select("text", "d1", "d2", "u", "weight", "comp")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text has the digest that was asked for: a doc_id can stand for several texts."""
+        """Rows whose text has the digest that was asked for: two texts can share a hash."""
         for b in batches:
             d = [digest(u) for u in shingle_sets(b.column(0), words)]
             want = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
@@ -346,28 +350,31 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     # classes that are linked get their group's least doc_id; the others their own
     grouped = each.join(links, "u").select("d1", "d2", "root", "first")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    named = each.join(grouped.join(least, "root").select("d1", "d2", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id"))
+    named = each.join(grouped.join(least, "root").select("d1", "d2", "root", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "u").alias("group"))
     out = rows.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "d1", "d2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "d1", "d2", "hash", "group")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose doc_id names their component, one for each component, with all their columns.
+    """One row of docs for each component, that with the least doc_id (null last), with all its columns.
 
-    Rows without words stay, one for each doc_id. Of repeated rows of a doc_id the one with the least text stays.
+    Rows are known by doc_id and a hash of the text. Of rows alike in both one stays; all others without words stay.
     """
-    keep_id, again_id = common.free(docs, "_keep", "_again")
-    named = components(docs, words, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = common.cut(named.select(F.col("doc_id").alias(keep_id)).distinct())
-    kept = common.small_or_shuffled(docs, keep, F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi", keep.count(), 16)
-    repeated = common.cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again_id)))
-    n_repeated = repeated.count()
-    if not n_repeated:
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col(again_id))
-    single = common.small_or_shuffled(kept, repeated, again, "left_anti", n_repeated, 16)
-    several = common.small_or_shuffled(kept, repeated, again, "left_semi", n_repeated, 16)
-    return single.unionByName(graph.first_of(several, "doc_id", ["text"]))
+    keep_id, keep_hash, own = common.free(docs, "_keep", "_keep_hash", "_own")
+    rows = components(docs, words, num, den).select("doc_id", "hash", "group")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("at")
+    chosen = rows.where("group is not null").groupBy("group").agg(first).select("at.doc_id", "at.hash")
+    wordless = rows.where("group is null").select("doc_id", "hash").distinct()
+    keep = common.cut(chosen.unionByName(wordless).select(F.col("doc_id").alias(keep_id), F.col("hash").alias(keep_hash)))
+    same = F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(keep_hash))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    kept = common.small_or_shuffled(keyed, keep, same, "left_semi", keep.count(), 24)
+    again = common.cut(keyed.groupBy("doc_id", own).count().where("count > 1").select(F.col("doc_id").alias(keep_id), F.col(own).alias(keep_hash)))
+    if not (n_again := again.count()):
+        return kept.drop(own)
+    single = common.small_or_shuffled(kept, again, same, "left_anti", n_again, 24)
+    several = common.small_or_shuffled(kept, again, same, "left_semi", n_again, 24)
+    return single.unionByName(several.dropDuplicates(["doc_id", own])).drop(own)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,10 @@ length, is at least `similarity`. Of each connected group of lines over the whol
 The decisions, a list of line numbers for each document that loses any, are joined with the texts: by broadcast while
 their counted size is small, by a shuffle beyond that.
 
-Null text: stays null, no lines. Empty text: one line that is left alone. Very long texts and lines: whole. Null doc_id:
-comes first in the order; all rows without doc_id count as one document. Repeated rows of a doc_id: as one document,
-each row gets the same decisions. Ties: broken by (doc_id, line number). Empty table: no rows. Extra columns are
-returned as they were.
+Null text: stays null, no lines. Empty text: one line that is left alone. Very long texts and lines: whole. A document is
+known by doc_id and a 64-bit hash of its text, so rows that share a doc_id, or have none, are told apart. Null doc_id:
+comes first in the order. Repeated rows, alike in doc_id and text: as one document, each gets the same decisions. Ties:
+broken by (doc_id, line number, hash). Empty table: no rows. Extra columns are returned as they were.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def band_keys(normal: pa.Array) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line, k1, k2 of every line that isn't left alone."""
+    """doc_id, line, hash (of the document's text), k1, k2 of every line that isn't left alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +183,9 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
             if not len(take):
                 continue
             k = np.array([key_of(x) for x in normal.take(pa.array(take)).to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), *[pa.array(k[:, j]) for j in (0, 1)]], ["doc_id", "line", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), b.column(2).take(pa.array(row[take])), *[pa.array(k[:, j]) for j in (0, 1)]], ["doc_id", "line", "hash", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, line long, k1 long, k2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(common.lean(run), "doc_id long, line long, hash long, k1 long, k2 long")
 
 
 def packed(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -279,18 +279,18 @@ def link(similarity: float):
 
 
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
-    """drop_doc and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
+    """drop_doc, drop_hash and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
     common.arrow_batches(docs.sparkSession)
     seen = common.cut(occurrences(docs, min_chars))
-    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
+    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "hash")).alias("at"), F.count("*").alias("n")))
     clusters = common.cut(graph.components(band_edges(docs, min_chars)))
     met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
-    wanted = members.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct("at.line", "u", "comp", "k1", "k2")).alias("lines"))
-    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "inner", members.count(), 72)
+    wanted = members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list(F.struct("at.line", "u", "comp", "k1", "k2")).alias("lines"))
+    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "inner", members.count(), 72)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The normalised lines that were asked for; a doc_id can stand for several texts, so their keys are tested."""
+        """The normalised lines that were asked for; two texts can share a hash, so their keys are tested."""
         for b in batches:
             row, number, _, normal = normal_lines(b.column(0))
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -310,16 +310,16 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     named = common.cut(grouped.join(first, "root").select("k1", "k2", "first"))
     known = common.small_or_shuffled(unique.select("k1", "k2", "at", "n"), named, ["k1", "k2"], "left", named.count(), 48)
     decided = common.cut(known.where("n > 1 or first is not null").select("k1", "k2", F.coalesce("first", "at").alias("first")))
-    lost = common.small_or_shuffled(seen.select("doc_id", "line", "k1", "k2"), decided, ["k1", "k2"], "inner", decided.count(), 48).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    return lost.groupBy(F.col("doc_id").alias("drop_doc")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
+    lost = common.small_or_shuffled(seen, decided, ["k1", "k2"], "inner", decided.count(), 48).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("hash") == F.col("first.hash"))))
+    return lost.groupBy(F.col("doc_id").alias("drop_doc"), F.col("hash").alias("drop_hash")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """doc = the row as it was, text = what its lines keep, n_lines and n_dropped."""
     gone = common.cut(dropped(docs, min_chars, similarity))
-    size = gone.agg(F.coalesce(F.sum(F.size("drop_lines") + 4), F.lit(0))).first()[0]
+    size = gone.agg(F.coalesce(F.sum(F.size("drop_lines") + 5), F.lit(0))).first()[0]
     rows = docs.select(F.struct("*").alias("doc"))
-    rows = common.small_or_shuffled(rows, gone, F.col("doc.doc_id").eqNullSafe(F.col("drop_doc")), "left", size, 8)
+    rows = common.small_or_shuffled(rows, gone, F.col("doc.doc_id").eqNullSafe(F.col("drop_doc")) & (F.xxhash64("doc.text") == F.col("drop_hash")), "left", size, 8)
     lines = F.split("doc.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_lines", i.cast("long"))), "\n")
     text = F.when(F.col("drop_lines").isNull(), F.col("doc.text")).otherwise(kept)

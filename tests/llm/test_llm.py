@@ -170,6 +170,23 @@ def test_large_clusters_are_cut_into_blocks_and_still_joined(spark):
     assert got == {k: 0 for k in range(200)}
 
 
+def test_rows_that_share_or_lack_a_doc_id_are_told_apart(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(40)) for c in "abcd")
+    rows = [(None, one, 1), (None, two, 2), (None, three, 3), (5, one, 4), (6, four, 5), (6, two + " x", 6), (7, "", 7), (None, "", 8), (None, three, 9), (None, three, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep int")
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, three), (5, one), (6, four), (6, two + " x"), (7, ""), (0, "")])
+
+
+def test_lines_of_rows_without_doc_id_are_told_apart(spark):
+    first, second, third = (" ".join(f"{c}{k}" for k in range(12)) for c in "abc")
+    texts = [f"{first}\n{first}", f"{second}\n{third}", f"{third[::-1]}\n{second[::-1]}"]
+    for ids in ([None] * 3, [4] * 3):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        assert sorted(r.text for r in lines.dedup_lines(docs).collect()) == sorted([first, *texts[1:]])
+
+
 # --- 2 ---
 def test_png_round_trip_and_damage():
     payload, n = media.padded("héllo " * 100)
