@@ -3,13 +3,14 @@
 Two histograms of a document are held against those of its language (all documents with the same lang, null counting as
 ''): character classes, and common words, which are the lower-cased words that make up at least 1/COMMON of the
 language's words. The measure is the Jensen-Shannon distance, the root of the divergence to base 2, from 0 to 1. A
-document fails above MAX_WORD_DISTANCE or MAX_CHAR_DISTANCE. Guards: under MIN_WORDS words, or in a language with under
-1/LANGUAGE of all words, the distances aren't looked at.
+document fails above MAX_WORD_DISTANCE or MAX_CHAR_DISTANCE. Guard: under MIN_WORDS words the distances aren't looked
+at. Every language has a reference, however small its share.
 
 Native throughout. The counts run over all documents. A sketch names words that may be common (its error is far below
-the share asked for) and exact counts decide; a language has at most COMMON common words and there are at most LANGUAGE
-languages, so what is broadcast is at most LANGUAGE rows of COMMON words, whatever the corpus. The text is never
-shuffled: measures of a document are computed in its row, and kept for the second look in the shared folder.
+the share asked for) and exact counts decide; a language has at most COMMON common words. References are broadcast while their counted
+size is small, and then the text is never shuffled: measures of a document are computed in its row, and kept for the
+second look in the shared folder. Beyond that only those of languages with 1/LANGUAGE of the rows or more are broadcast,
+at most LANGUAGE of them; rows of the others, none of which is a hot key, are joined by a shuffle.
 
 Null or empty text: no words, so base_failed. Very long texts: whole. Repeated rows: each is judged for itself and
 counts in the language. Null doc_id: judged like others. Null lang: a language of its own. Empty table: no rows. Extra
@@ -38,13 +39,24 @@ def words_of(text: Column) -> Column:
 
 
 def common_candidates(docs: DataFrame) -> DataFrame:
-    """lang and the words that may be common in it, at most 4 * COMMON of them, for languages with enough words."""
+    """lang and the words that may be common in it, at most 4 * COMMON of them, for languages with words."""
     words = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("w"))
     top = common.cut(words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * COMMON}, {200 * COMMON})").alias("top"), F.count("w").alias("n")))
     maybe = F.filter("top", lambda x: x["count"] * (2 * COMMON) >= F.col("n"))
-    enough = F.broadcast(top.select(F.sum("n").alias("all")))
-    top = top.join(enough, (F.col("n") > 0) & (F.col("n") * LANGUAGE >= F.col("all")))
-    return top.select("lang", F.array_sort(F.transform(maybe, lambda x: x["item"])).alias("maybe"))
+    return top.where("n > 0").select("lang", F.array_sort(F.transform(maybe, lambda x: x["item"])).alias("maybe"))
+
+
+def by_language(rows: DataFrame, side: DataFrame, size: Column) -> DataFrame:
+    """rows with what side, a table of a row for each lang, has; size: the bytes of a row of side."""
+    side = common.cut(side)
+    n_bytes = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if n_bytes <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), "lang", "left")
+    counts = common.cut(rows.groupBy("lang").agg(F.count("*").alias("_n")))
+    all_rows = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("_n") * LANGUAGE >= all_rows).select("lang").collect()]
+    is_hot = F.col("lang").isin(hot)
+    return rows.where(is_hot).join(F.broadcast(side.where(is_hot)), "lang", "left").unionByName(rows.where(~is_hot).join(side.where(~is_hot).hint("shuffle_merge"), "lang", "left"))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -78,15 +90,14 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def references(measures: DataFrame) -> DataFrame:
-    """For each language with enough words: its common words' places and shares, and its classes' shares; one row each."""
+    """For each language with words: its common words' places and shares, and its classes' shares; one row each."""
     sums = measures.groupBy("lang").agg(F.sum("n_words").alias("n"), F.first("maybe").alias("maybe"), *[F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 2)])
     each = measures.select("lang", F.posexplode("counts").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     picked = each.join(sums.select("lang", "n"), "lang").where((F.col("x") * COMMON >= F.col("n")) & (F.col("n") > 0))
     words = picked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("x") / F.col("n")).alias("q")))).alias("common"))
-    total = sums.select(F.sum("n").alias("all"))
     chars = F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 2)])
     whole = F.aggregate(chars, F.lit(0.0), lambda s, x: s + x)
-    out = sums.join(F.broadcast(total), F.col("n") * LANGUAGE >= F.col("all")).where(F.col("n") > 0).join(words, "lang", "left")
+    out = sums.where("n > 0").join(words, "lang", "left")
     return out.select("lang", F.coalesce("common", F.array().cast("array<struct<k:int,q:double>>")).alias("common"), F.transform(chars, lambda x: x / whole).alias("q_chars"))
 
 
@@ -100,7 +111,7 @@ def distance(p: Column, q: Column) -> Column:
 def judged(measures: DataFrame) -> DataFrame:
     """measures with both distances, base_failed and kept."""
     rest = lambda a: F.concat(a, F.array(F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda s, x: s + x)))
-    out = measures.join(F.broadcast(references(measures)), "lang", "left").withColumns(
+    out = by_language(measures, references(measures), 16 * F.size("common") + 128).withColumns(
         {
             "p": rest(F.transform("common", lambda c: F.get("counts", c["k"]) / F.col("n_words"))),
             "q": rest(F.transform("common", lambda c: c["q"])),
@@ -114,11 +125,15 @@ def judged(measures: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far, F.lit(False)))
 
 
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """Rows of lang and text, with the words that may be common in their language."""
+    return by_language(docs, common_candidates(docs), F.octet_length(F.array_join("maybe", "")) + 16 * F.size("maybe") + 64)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, both distances, base_failed and kept of every row."""
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    maybe = common.cut(common_candidates(docs))
-    rows = with_words(docs.join(F.broadcast(maybe), "lang", "left")).drop("text")
+    rows = with_words(with_candidates(docs)).drop("text")
     return judged(common.cut(rows)).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_distance", "char_distance", "base_failed", "kept")
 
 
@@ -129,10 +144,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """
     key = lambda: F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
     plain = docs.select("doc_id", "lang", "text")
-    maybe = common.cut(common_candidates(plain.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))))
     inner = plain.select("doc_id", key().alias("_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     own, bad_id, bad_key = common.free(docs, "_key", "_bad", "_bad_key")
-    rows = common.cut(with_words(inner.join(F.broadcast(maybe), "lang", "left")).drop("text"))
+    rows = common.cut(with_words(with_candidates(inner)).drop("text"))
     bad = common.cut(judged(rows).where(~F.col("kept")).select(F.col("doc_id").alias(bad_id), F.col("_key").alias(bad_key)).distinct())
     n = bad.count()
     keyed = docs.withColumn(own, key())

@@ -305,6 +305,19 @@ def test_filter_keeps_what_measure_keeps(spark, sf_dir):
     assert {r.doc_id for r in quality.quality_filter(docs).collect()} == want and 0 < len(want) < docs.count()
 
 
+def test_a_small_language_is_judged(spark, monkeypatch):
+    text = [" ".join(("the of and to in a is that for it".split())[(j * 7 + k) % 10] for j in range(60)) for k in range(40)]
+    odd = " ".join(f"{'#' * (1 + k % 4)}zq{k}" for k in range(60))
+    rows = [(k, x, "small") for k, x in enumerate(text)] + [(100, odd, "small")] + [(1000 + k, " ".join([f"w{(k * j) % 23}" for j in range(1, 2000)]), "large") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        got = {r.doc_id: r for r in quality.measure(docs).collect()}
+        assert len(got) == len(rows) and got[0].word_distance < 0.3
+        assert got[100].word_distance > quality.MAX_WORD_DISTANCE and not got[100].kept
+        assert 100 not in {r.doc_id for r in quality.quality_filter(docs).collect()}
+
+
 # --- 8 ---
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_library_s_ids(sf_dir, name):
