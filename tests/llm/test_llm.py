@@ -93,10 +93,15 @@ def test_pipeline_runs(spark, sf_dir):
 
 
 def test_packing_reads_the_mixture_s_order(spark, tmp_path):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('some words. ', cast(1 + id % 40 as int))").alias("text"), F.when(F.col("id") % 5 == 0, "b").when(F.col("id") < 900, "c").otherwise("a").alias("source"))
+    text = F.expr("concat_ws('. ', transform(sequence(1, if(id % 5 < 2, 1, 20)), k -> sha2(concat(id, ' ', k), 256)))")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 5 < 2, "b").otherwise("a").alias("source"))
     mixed = corpus_pipeline.mix_stage(spark, docs, "")
     want = [r.doc_id for r in mixed.select("doc_id").collect()]
-    mixed.write.parquet(str(tmp_path / "m"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many files as shuffle partitions
+    try:
+        mixed.write.parquet(str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
     got = corpus_pipeline.pack_stage(spark, spark.read.parquet(str(tmp_path / "m")), "")
     assert [r.doc_id for r in got.where("start = 0").orderBy("sequence_id", "offset").select("doc_id").collect()] == want
 
