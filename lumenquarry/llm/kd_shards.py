@@ -3,10 +3,12 @@
 Every row is a point: a coordinate in 0 to CELLS - 1 for each metadata dimension (numbers by their place between the
 least and the largest value, strings by a hash, null as the least). A node is split at the weighted median, by bytes,
 along its widest dimension; rows of the median's cell are parted by a hash, so a value that a third of the rows share
-still splits evenly. Splitting goes on until the leaves reach the target, here 2 ** levels leaves.
+still splits evenly. Given target_bytes, every node of more bytes is split, for as long as its rows can be parted; without
+it splitting goes on to 2 ** levels leaves, as op10 asks (16).
 
 The medians are distributed: bytes are summed by (node, dimension, cell), pre-aggregated before the shuffle, and the
-driver gets those sums, at most nodes * dimensions * CELLS of them whatever the input. A level takes two such sums.
+driver gets those sums, at most nodes * dimensions * CELLS of them whatever the input, for NODES_AT_ONCE nodes at a time
+where a target is given. A level takes two such sums.
 Texts are read once, for their size and checksum; the tree works on a narrow table in the shared folder. Slots are
 gapless in a shard: a row's number within (shard, part) plus the rows of earlier parts.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CELLS, LEVELS = 4096, 4
+CELLS, LEVELS, NODES_AT_ONCE = 4096, 4, 64
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
@@ -53,49 +55,97 @@ def medians(sums: np.ndarray, cells: np.ndarray, before: float, whole: float, ne
     return int(cells[order][k]), float(reach[k] - sums[order][k])
 
 
+def splits(at: DataFrame, n_dims: int, part: bool = False) -> dict[int, tuple[int, int, int]]:
+    """For each node of the points: the dimension, the median's cell and the tie after which its rows go right.
+
+    With part, a node whose rows would all go left is cut before its last cell, or in its only cell before the last tie.
+    """
+    each = at.select("node", "size", F.posexplode(F.array(*[F.col(f"c{d}") for d in range(n_dims)])).alias("dim", "cell"))
+    sums = each.groupBy("node", "dim", "cell").agg(F.sum("size").alias("w")).toPandas()
+    if not len(sums):
+        return {}
+    picked: dict[int, tuple[int, int, float, float]] = {}
+    last = sums.groupby(["node", "dim"])["cell"].max()
+    for n, of_node in sums.groupby("node"):
+        width = of_node.groupby("dim")["cell"].agg(lambda x: x.max() - x.min())
+        dim = int(width.idxmax())
+        mine = of_node[of_node["dim"] == dim]
+        whole = float(mine["w"].sum())
+        picked[int(n)] = (dim, *medians(mine["w"].to_numpy(float), mine["cell"].to_numpy(), 0.0, whole), whole)
+
+    def of(k: int) -> Column:
+        """What was picked for the row's node."""
+        return F.element_at(F.create_map(*[F.lit(x) for n, p in picked.items() for x in (n, p[k])]), F.col("node").cast("long"))
+
+    own = F.get(F.array(*[F.col(f"c{d}") for d in range(n_dims)]), of(0))
+    inner = at.withColumns({"own": own, "median": of(1)}).where("own = median").groupBy("node", "tie").agg(F.sum("size").alias("w")).toPandas()
+    out = {}
+    for n, (dim, median, before, whole) in picked.items():
+        mine = inner[inner["node"] == n]
+        ties = np.sort(mine["tie"].to_numpy())
+        tie = medians(mine["w"].to_numpy(float), mine["tie"].to_numpy(), before, whole, near=True)[0]
+        if part and median == last[n, dim] and tie == ties[-1]:
+            tie = -1 if before else int(ties[max(len(ties) - 2, 0)])
+        out[n] = (dim, median, tie)
+    return out
+
+
 def leaves(points: DataFrame, n_dims: int, levels: int) -> Column:
     """The leaf, 0 to 2 ** levels - 1, of a point (c0, c1, ..., tie, size)."""
     node = F.lit(1)
     for _ in range(levels):
-        at = points.withColumn("node", node)
-        each = at.select("node", "size", F.posexplode(F.array(*[F.col(f"c{d}") for d in range(n_dims)])).alias("dim", "cell"))
-        sums = each.groupBy("node", "dim", "cell").agg(F.sum("size").alias("w")).toPandas()
-        if not len(sums):
+        picked = splits(points.withColumn("node", node), n_dims)
+        if not picked:
             return F.lit(0)
-        picked: dict[int, tuple[int, int, float, float]] = {}
-        for n, of_node in sums.groupby("node"):
-            width = of_node.groupby("dim")["cell"].agg(lambda x: x.max() - x.min())
-            dim = int(width.idxmax())
-            mine = of_node[of_node["dim"] == dim]
-            whole = float(mine["w"].sum())
-            picked[int(n)] = (dim, *medians(mine["w"].to_numpy(float), mine["cell"].to_numpy(), 0.0, whole), whole)
-
-        def of(k: int, picked=picked) -> Column:
-            """What was picked for the row's node."""
-            return F.element_at(F.create_map(*[F.lit(x) for n, p in picked.items() for x in (n, p[k])]), F.col("node"))
-
-        own = F.get(F.array(*[F.col(f"c{d}") for d in range(n_dims)]), of(0))
-        inner = at.withColumns({"own": own, "median": of(1)}).where("own = median").groupBy("node", "tie").agg(F.sum("size").alias("w")).toPandas()
         step = F.lit(0)
-        for n, (dim, median, before, whole) in picked.items():
-            mine = inner[inner["node"] == n]
-            tie, _ = medians(mine["w"].to_numpy(float), mine["tie"].to_numpy(), before, whole, near=True)
+        for n, (dim, median, tie) in picked.items():
             c = F.col(f"c{dim}")
             step = F.when(node == n, ((c > median) | ((c == median) & (F.col("tie") > tie))).cast("int")).otherwise(step)
         node = node * 2 + step
     return node - 2**levels
 
 
-def shard_rows(rows: DataFrame, dimensions: tuple[str, ...], levels: int = LEVELS) -> DataFrame:
+def grown(points: DataFrame, n_dims: int, target_bytes: int) -> DataFrame:
+    """points with shard: nodes of more than the target are split while that parts their rows."""
+    spark = points.sparkSession
+    at, whole = points.withColumn("node", F.lit(1).cast("long")), set()
+    before: dict[int, int] = {}
+    while True:
+        sizes = at.groupBy("node").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
+        whole |= {r.node for r in sizes if r.n == 1 or before.get(r.node // 2) == r.n or r.node >= 1 << 61}
+        split = sorted(r.node for r in sizes if r.w > target_bytes and r.node not in whole)
+        if not split:
+            break
+        before = {r.node: r.n for r in sizes if r.node in set(split)}
+        picked: dict[int, tuple[int, int, int]] = {}
+        for k in range(0, len(split), NODES_AT_ONCE):
+            picked |= splits(at.where(F.col("node").isin(split[k : k + NODES_AT_ONCE])), n_dims, part=True)
+        side = spark.createDataFrame([(n, *p) for n, p in picked.items()], "node long, _dim int, _median int, _tie int")
+        own = F.get(F.array(*[F.col(f"c{d}") for d in range(n_dims)]), F.col("_dim"))
+        right = (own > F.col("_median")) | ((own == F.col("_median")) & (F.col("tie") > F.col("_tie")))
+        joined = common.small_or_shuffled(at, side, "node", "left", len(picked), 40)
+        node = F.when(F.col("_dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))
+        at = common.cut(joined.withColumn("node", node).drop("_dim", "_median", "_tie"))
+    order = sorted((r.node for r in sizes), key=lambda n: n / (1 << n.bit_length()))
+    shards = spark.createDataFrame([(n, k) for k, n in enumerate(order)], "node long, shard int")
+    return common.small_or_shuffled(at, shards, "node", "inner", len(order), 24).drop("node")
+
+
+def shard_rows(rows: DataFrame, dimensions: tuple[str, ...], levels: int = LEVELS, target_bytes: int | None = None) -> DataFrame:
     """rows, which have a column size, with shard and slot; one row out for each row in.
 
+    With target_bytes a shard has more bytes only where its rows can't be parted; levels is then ignored.
+
     The columns of rows are kept in the shared folder while the tree is built, so give narrow rows.
     """
     spark = rows.sparkSession
     points = rows.select("*", *[c.alias(f"c{k}") for k, c in enumerate(coordinates(rows, dimensions))], F.monotonically_increasing_id().alias("_row"))
     points = points.withColumn("_hash", F.xxhash64("doc_id", "_row")).withColumn("tie", F.pmod("_hash", F.lit(CELLS)).cast("int"))
     points = common.cut(points)
-    placed = points.withColumn("shard", leaves(points, len(dimensions), levels).cast("int"))
+    if target_bytes is None:
+        placed = points.withColumn("shard", leaves(points, len(dimensions), levels).cast("int"))
+    else:
+        placed = grown(points, len(dimensions), target_bytes)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = placed.withColumn("_part", F.pmod(F.shiftright("_hash", 20), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
@@ -109,5 +159,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shard_rows(rows, DIMENSIONS)
+    out = shard_rows(rows, DIMENSIONS, LEVELS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -421,3 +421,13 @@ def test_leaves_are_even_and_slots_gapless(spark):
     per = got.groupby("shard")["size"].sum()
     assert len(per) == 16 and per.max() - per.min() <= 0.02 * per.mean()
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+@pytest.mark.parametrize("target", [800, 5000, 10**6])
+def test_leaves_follow_the_target(spark, target):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, 2000).otherwise(F.col("id") % 17 + 1).alias("size"))
+    got = kd_shards.shard_rows(rows, kd_shards.DIMENSIONS, target_bytes=target).toPandas()
+    assert len(got) == 4000 and sorted(got.shard.unique()) == list(range(got.shard.nunique()))
+    assert all(g["size"].sum() <= target or len(g) == 1 for _, g in got.groupby("shard"))
+    assert got.shard.nunique() <= max(1, 4 * got["size"].sum() // target)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
