@@ -1,4 +1,4 @@
-"""Ordered operators (A5, W2 to W10, W15, A13, A14, O4): windows, islands and folds over one group."""
+"""Ordered operators (A5, W2, W3, W6, W7, W9, W15, A13, A14, O4): windows, islands and folds over one group."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
 
 
 def peaks(hist: DataFrame, least_share: float) -> DataFrame:
-    """Bins whose box mean of three (0 outside) is a local maximum and reaches a share of the largest.
+    """Bins whose box mean of three (0 outside) is a local maximum and reaches a share of the largest.
 
     A histogram is bounded by its bins, so one ordered window is enough.
     """
@@ -62,7 +62,7 @@ def thin_runs(df: DataFrame, by: list[str], value: str, width: float, share: flo
 def spaced(df: DataFrame, by: list[str], time: str, key: str, least: int) -> DataFrame:
     """Greedy keyframes: a row is kept when it is at least `least` after the last kept one.
 
-    A fold over the ordered rows of one group, which the group's array holds; `spaced_long` takes any length.
+    A fold over the ordered rows of one group, which the group's array holds.
     """
     packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(key).alias("k")))).alias("r"))
     zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))

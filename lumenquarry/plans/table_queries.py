@@ -84,7 +84,7 @@ g as (select *, case when bin - lag(bin) over w > 1 then 1 else 0 end x from f w
 h as (select *, sum(x) over (partition by event_type order by bin) island from g)
 select event_type, island::bigint island, min(bin) first_bin, max(bin) last_bin, sum(n)::bigint n from h group by 1, 2""")
 def thin_runs(spark: SparkSession, d: str) -> DataFrame:
-    """W9, W10"""
+    """W9"""
     return series.thin_runs(events(spark, d), ["event_type"], "value", 5.0, 0.5)
 
 
@@ -117,7 +117,7 @@ def height_histogram(spark: SparkSession, d: str) -> DataFrame:
 t as (select *, coalesce(lag(sm) over w, 0) l, coalesce(lead(sm) over w, 0) r, max(sm) over () top from s window w as (order by bin))
 select bin, round(centre, 9) centre, n, round(sm, 6) sm from t where sm >= l and sm >= r and sm >= 0.15 * top and sm > 0""")
 def histogram_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """W3, W4, O3"""
+    """W3, O3"""
     return series.peaks(series.histogram(events(spark, d), "value", 0.5), 0.15).withColumns({"centre": F.round("centre", 9), "sm": F.round("sm", 6)})
 
 
@@ -233,7 +233,7 @@ def gate_compare(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {P}, r as (select label, ((floor((atan2(y, x) + pi()) / (2 * pi()) * 36)::bigint % 36) + 36) % 36 bin, sqrt(x * x + y * y) r from p)
 select label, bin, round(greatest(quantile_cont(r, 0.1) - 0.01, 0), 9) reach, count(*) n from r where r > 0.02 and r <= 6 group by 1, 2 having count(*) >= 3""")
 def visibility_bins(spark: SparkSession, d: str) -> DataFrame:
-    """G14, W11"""
+    """G14"""
     return rays.visible_range(points(spark, d), ["label"], "x", "y", 36, 0.02, 6.0, 3, 0.01).withColumn("reach", F.round("reach", 9))
 
 
@@ -255,7 +255,7 @@ def raster_close(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with recursive {CELLS}, r(i, j, ci, cj) as (select i, j, i, j from c union select r.i, r.j, c.i, c.j from r join c on abs(c.i - r.ci) <= 1 and abs(c.j - r.cj) <= 1)
 select i, j, min((ci, cj))[1] ci, min((ci, cj))[2] cj from r group by 1, 2""")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """G5, G6, A19"""
+    """G6"""
     from ..session import checkpoints
 
     checkpoints(spark)
@@ -278,7 +278,7 @@ ANGLES = [math.radians(5 * k) for k in range(18)]
 u as (select k, 0 d, x * c + y * s u from p, t union all select k, 1, y * c - x * s from p, t),
 b as (select k, d, ph, floor(u / 0.02 + ph) bin, count(*) n from u, (select unnest([0.0, 0.5]) ph) group by all) select k, sum(n * n)::bigint score from b group by 1""")
 def axis_score(spark: SparkSession, d: str) -> DataFrame:
-    """A6, A7, M6"""
+    """A6, A7"""
     return rays.axis_scores(points(spark, d), "x", "y", ANGLES, 0.02)
 
 
@@ -299,7 +299,7 @@ h as (select *, ((ax - ox) * (by_ - ay) - (ay - oy) * (bx - ax)) / det t, ((ax -
 k as (select *, row_number() over (partition by origin, ray order by round(t, 9), wall) q from h where t > 1e-9 and u between 0 and 1)
 select origin, ray::int ray, wall, round(t, 9) t from k where q = 1""")
 def ray_first_hit(spark: SparkSession, d: str) -> DataFrame:
-    """J12, G15, A17"""
+    """J12, G15"""
     origins = points(spark, d).where("vec_id < 40").select(F.col("vec_id").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     return rays.first_hits(origins, walls(spark, d), 72)
 
