@@ -191,6 +191,11 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     return clean.missing_keys(table(spark, d, "orders"), "o_orderkey", 1, 20000)
 
 
+def missing_ids_whole(spark: SparkSession, d: str) -> DataFrame:
+    """C7, J14, U2 from the least to the largest key; no SQL, for the test tables have no gaps"""
+    return clean.missing_keys(table(spark, d, "orders"), "o_orderkey", None)
+
+
 @query("""with b as (select min(doc_id) lo, max(doc_id) hi from labels), r as (select unnest(range(lo, hi + 1)) doc_id from b)
 select r.doc_id from r anti join labels l on l.doc_id = r.doc_id""")
 def missing_from_first(spark: SparkSession, d: str) -> DataFrame:

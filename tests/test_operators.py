@@ -62,3 +62,11 @@ def test_missing_keys_between_the_ends(spark):
     df = spark.createDataFrame([(3,), (6,)], "k long")
     assert sorted(r.k for r in clean.missing_keys(df, "k", None).collect()) == [4, 5]
     assert sorted(r.k for r in clean.missing_keys(df, "k", 2, 6).collect()) == [2, 4, 5]
+
+
+def test_missing_ids_of_the_whole_table(spark, tmp_path):
+    import __spark_entry__
+
+    spark.range(10, 60000).where("id % 25000 != 0").withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = __spark_entry__.queries()["missing_ids_whole"](spark, str(tmp_path))
+    assert sorted(r[0] for r in got.collect()) == [25000, 50000]
