@@ -124,6 +124,11 @@ def small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, right_row
     return left.join(F.broadcast(right) if right_rows * row_bytes <= BROADCAST_BYTES else right, on, how)
 
 
+def array_bytes(side: DataFrame, column: str) -> tuple[int, int]:
+    """The bytes, as rows and bytes a row, that a broadcast of side takes: two or three keys and an array of integers a row."""
+    return side.agg(F.coalesce(F.sum(128 + 4 * F.size(column)), F.lit(0))).first()[0], 1
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], give: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Calls give for each run of equal keys (integers) of a partition that is sorted by them; a run may cross batches."""
     held: list[pa.RecordBatch] = []

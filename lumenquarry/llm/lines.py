@@ -9,9 +9,10 @@ length, is at least `similarity`. Of each connected group of lines over the whol
 1. Occurrences with a 128-bit key of the normalised form, kept in the shared folder; equal forms meet by a
    pre-aggregated minimum, so a very common line is one row for each task.
 2. BANDS keys of a form, each of ROWS minima over its GRAM-byte grams: two forms whose grams have Jaccard similarity J
-   share one with probability 1 - (1 - J ** ROWS) ** BANDS, which is 0.994 at 0.72 and 0.53 at 0.5. So the search is
-   not exact: pairs at the least similarity whose edits are scattered over all words can be missed (figures: README).
-   Different lines that share a key form candidate clusters through star edges; no pairs are listed.
+   share one with probability about 1 - (1 - J ** ROWS) ** BANDS. So the search is not exact: pairs at the least
+   similarity whose edits are scattered over all words can be missed (figures, also of the SimHash blocks that these keys
+   stand in for: README). Different lines that share a key form candidate clusters through star edges; no pairs are
+   listed.
 3. In a cluster the lines' texts are fetched and all pairs that aren't yet connected are verified: an edit changes at
    most `q` grams of `q` characters, so pairs whose gram counts differ by more need no distance; no link is lost there.
 
@@ -26,7 +27,6 @@ broken by (doc_id, line number, hash). Empty table: no rows. Extra columns are r
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,73 +39,64 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 MIN_CHARS, SIMILARITY = 20, 0.9
-#: Bits of the SimHash in which linked lines may differ: all 128, for no bound on them follows from an edit similarity.
-DIFFER = 128
 #: Bytes of a gram, minima of a key, keys of a line.
-GRAM, ROWS, BANDS = 6, 5, 24
+GRAM, ROWS, BANDS = 6, 5, 20
+BINS, EMPTY, TRIES = ROWS * BANDS, np.uint32(0xFFFFFFFF), 64
+#: For each try the bin that an empty bin takes its minimum from.
+DONORS = (graph.mixed(np.arange(1, TRIES * BINS + 1)) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
 #: Characters and cells of the counts that are compared before a distance is computed.
 COUNTED, CELLS = 3, 256
 #: Lines that one task verifies at once; a larger cluster is cut into blocks.
 TASK_LINES = 2048
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
-WORDS_AT_ONCE = 200_000
+#: ASCII punctuation, which goes (1), and white space (2).
+CLASS = np.zeros(256, np.uint8)
+CLASS[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = 1
+CLASS[np.frombuffer(b" \t\n\v\f\r", np.uint8)] = 2
 GRAMS_AT_ONCE = 1 << 16
-#: Bits of a bucket of band keys, 40 bits of a line's key, and a pair of 40-bit numbers.
-BUCKET_BITS, LINE = 12, np.uint64((1 << 40) - 1)
-PAIR = np.dtype([("x", "<u4"), ("x_top", "u1"), ("y", "<u4"), ("y_top", "u1")])
-FACTORS = (graph.mixed(np.arange(1, ROWS * BANDS + 1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-#: The 8 bits of a byte, each in a byte of its own.
-LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
+#: Buckets of band keys for each shuffle partition, 40 bits of a line's key, and a pair of a 32- and a 40-bit number.
+BUCKETS, LINE = 16, np.uint64((1 << 40) - 1)
+PAIR = np.dtype([("x", "<u4"), ("y", "<u4"), ("y_top", "u1")])
 
 
-def normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray, pa.Array]:
-    """For all lines of the texts: the row, the line number, the words (with empty ones), the normalised form."""
+def normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For all lines of the texts: the row, the line number, the normalised form."""
     split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     at = split.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    number = np.arange(len(row)) - at[row]
-    words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(split.flatten()), PUNCTUATION, ""))
-    return row, number, words, pc.utf8_trim(pc.binary_join(words, " "), " ")
-
-
-def simhashes(words: pa.ListArray) -> np.ndarray:
-    """128 bits, as two columns of unsigned 64-bit integers, for each list of words; ties of a bit's votes give 0.
-
-    A feature is a word with the one before it, so that very common words don't make all lines alike. The votes of 8
-    bits are added at once, as the bytes of a 64-bit integer, in runs of up to 255 features.
-    """
-    flat = words.flatten()
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    coded = flat.dictionary_encode()
-    known = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-    h = (known[coded.indices.to_numpy()] if len(known) else np.empty(0, np.uint64))[real]
-    at = words.offsets.to_numpy().astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(real)])[at - at[0]]
-    before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-    before[at[:-1][at[1:] > at[:-1]]] = 0
-    first = graph.mixed(h + graph.MIX * before)
-    features = np.stack([first, graph.mixed(first ^ graph.MIX)], axis=1).view(np.uint8)
-    out = np.zeros((len(words), 16), np.uint8)
-    start = 0
-    while start < len(words):
-        stop = min(max(start + 1, int(np.searchsorted(at, at[start] + WORDS_AT_ONCE, side="right")) - 1), len(words))
-        filled = np.flatnonzero(at[start + 1 : stop + 1] > at[start:stop]) + start
-        if len(filled):
-            size = at[filled + 1] - at[filled]
-            runs = -(-size // 255)
-            begin = np.concatenate([[0], np.cumsum(runs)[:-1]])
-            run_at = np.repeat(at[filled] - at[start], runs) + 255 * (np.arange(runs.sum()) - np.repeat(begin, runs))
-            votes = np.add.reduceat(LANES[features[at[start] : at[stop]]], run_at, axis=0).view(np.uint8)
-            total = np.add.reduceat(votes, begin, axis=0, dtype=np.int64)
-            out[filled] = np.packbits(2 * total > size[:, None], axis=1)
-        start = stop
-    return out.view(">u8").astype(np.uint64)
-
-
-def key_of(line: str) -> tuple[int, int]:
-    d = hashlib.blake2b(line.encode(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return row, np.arange(len(row)) - at[row], normalised(pc.utf8_lower(split.flatten()))
+
+
+def normalised(lines: pa.Array) -> pa.Array:
+    """The lines without punctuation, each run of white space one space, none at the ends. Bytes of a character outside
+    ASCII are in no class, so all of it works on bytes."""
+    if not len(lines):
+        return lines
+    at = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    kind = CLASS[data]
+    stay = np.flatnonzero(kind != 1)
+    data, space = data[stay], kind[stay] == 2
+    at = np.searchsorted(stay, at)
+    before = np.empty_like(space)  # whether a space, or the line's start, comes before
+    before[1:] = space[:-1]
+    before[at[:-1][at[:-1] < len(space)]] = True
+    stay = np.flatnonzero(~(space & before))
+    data, space = data[stay], space[stay]
+    at = np.searchsorted(stay, at)
+    data = np.where(space, np.uint8(32), data)
+    last = at[1:][at[1:] > at[:-1]] - 1  # a line's last character, where it is a space, goes as well
+    gone = last[space[last]]
+    at = at - np.searchsorted(gone, at)
+    data = np.delete(data, gone)
+    return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def line_keys(normal: pa.Array) -> np.ndarray:
+    """A row of two integers, 128 bits, for each form."""
+    joined = b"".join([xxhash.xxh3_128_digest(x) for x in normal.to_pylist()])
+    return np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
 
 
 def distance(a: str, b: str) -> int:
@@ -148,7 +139,12 @@ def mixed32(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(normal: pa.Array) -> np.ndarray:
-    """A row of BANDS keys for each form. A form is followed by zeros, so it has as many grams as bytes, and at least one."""
+    """A row of BANDS keys for each form, from one pass over its grams: a gram falls into one of ROWS * BANDS bins by its
+    hash, and the least hash of a bin is that bin's minimum. A bin without a gram takes the minimum of another bin, the
+    first filled one of a sequence that is the same for all forms.
+
+    A form is followed by zeros, so it has as many grams as bytes.
+    """
     big = pa.large_binary()
     padded = pc.binary_join_element_wise(normal.cast(big), pa.scalar(b"\0" * GRAM, big), pa.scalar(b"", big))
     at = np.frombuffer(padded.buffers()[1], np.int64)[padded.offset : padded.offset + len(padded) + 1]
@@ -161,41 +157,67 @@ def band_keys(normal: pa.Array) -> np.ndarray:
         grams = np.zeros(len(part) - GRAM + 1, np.uint32)
         for j in range(GRAM):
             grams = grams * np.uint32(0x01000193) + part[j : j + len(grams)]
-        grams = mixed32(grams)
-        # each form's grams, without those that begin in its zeros but for the first
-        edges = np.stack([at[start:stop], np.maximum(at[start + 1 : stop + 1] - GRAM, at[start:stop] + 1)], axis=1).ravel() - at[start]
-        for band in range(BANDS):
-            key = np.full(stop - start, band, np.uint64)
-            for f in FACTORS[band * ROWS : (band + 1) * ROWS]:
-                key = graph.mixed(key * graph.MIX + np.minimum.reduceat(grams * f, edges)[::2])
-            out[start:stop, band] = key
+        size = np.diff(at[start : stop + 1])
+        own = np.ones(len(part), bool)  # not the grams that begin in the zeros
+        own[(np.cumsum(size)[:, None] - np.arange(1, GRAM + 1)).ravel()] = False
+        h = mixed32(grams[own[: len(grams)]])
+        line = np.repeat(np.arange(stop - start, dtype=np.int64) * BINS, size - GRAM)
+        least = np.full((stop - start) * BINS, EMPTY, np.uint32)
+        np.minimum.at(least, line + (h.astype(np.int64) * BINS >> 32), h)
+        out[start:stop] = folded(filled(least.reshape(-1, BINS)))
         start = stop
     return out
 
 
+def filled(least: np.ndarray) -> np.ndarray:
+    """The minima, with those of other bins in the empty ones. What TRIES bins don't give, the least of all does."""
+    out = least.copy()
+    row, col = np.nonzero(least == EMPTY)
+    for donor in DONORS:
+        if not len(row):
+            return out
+        value = least[row, donor[col]]
+        out[row, col] = value
+        none = value == EMPTY
+        row, col = row[none], col[none]
+    out[row, col] = least[row].min(axis=1)
+    return out
+
+
+def folded(minima: np.ndarray) -> np.ndarray:
+    """A key of each band's minima and the band's number."""
+    each = minima.reshape(len(minima), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), each.shape[:2])
+    for k in range(ROWS):
+        key = graph.mixed(key * graph.MIX + each[:, :, k])
+    return key
+
+
+def long_lines(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """normal_lines without those that are left alone."""
+    row, number, normal = normal_lines(texts)
+    take = np.flatnonzero(pc.greater_equal(pc.utf8_length(normal), min_chars).to_numpy(zero_copy_only=False))
+    return row[take], number[take], normal.take(pa.array(take))
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line, hash (of the document's text), k1, k2 of every line that isn't left alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, number, _, normal = normal_lines(b.column(1))
-            take = np.flatnonzero(pc.greater_equal(pc.utf8_length(normal), min_chars).to_numpy(zero_copy_only=False))
-            if not len(take):
-                continue
-            k = np.array([key_of(x) for x in normal.take(pa.array(take)).to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(number[take], pa.int64()), b.column(2).take(pa.array(row[take])), *[pa.array(k[:, j]) for j in (0, 1)]], ["doc_id", "line", "hash", "k1", "k2"])
+            row, number, normal = long_lines(b.column(1), min_chars)
+            if len(row):
+                k, row = line_keys(normal), pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(number, pa.int32()), b.column(2).take(row), *[pa.array(k[:, j]) for j in (0, 1)]], ["doc_id", "line", "hash", "k1", "k2"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(common.lean(run), "doc_id long, line long, hash long, k1 long, k2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(common.lean(run), "doc_id long, line int, hash long, k1 long, k2 long")
 
 
-def packed(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket, by a mix of x, of the pairs' lower 40 bits, 10 bytes a pair."""
-    bucket = graph.mixed(x) >> np.uint64(64 - BUCKET_BITS)
-    order = np.argsort(bucket, kind="stable")
+def packed(kind: int, bucket: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, in which bucket is sorted, of the lower 32 bits of x and 40 of y, 9 bytes a pair."""
     pairs = np.empty(len(x), PAIR)
-    for name, z in (("x", x[order]), ("y", y[order])):
-        pairs[name], pairs[f"{name}_top"] = z & np.uint64(0xFFFFFFFF), z >> np.uint64(32) & np.uint64(0xFF)
-    found, first = np.unique(bucket[order], return_index=True)
+    pairs["x"], pairs["y"], pairs["y_top"] = x & np.uint64(0xFFFFFFFF), y & np.uint64(0xFFFFFFFF), y >> np.uint64(32) & np.uint64(0xFF)
+    found, first = np.unique(bucket, return_index=True)
     at = np.append(first, len(x)).astype(np.int32) * PAIR.itemsize
     data = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(at), pa.py_buffer(pairs.tobytes())])
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), kind, np.int64)), data], ["bucket", "kind", "data"])
@@ -203,44 +225,44 @@ def packed(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 def unpacked(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.frombuffer(b"".join(data.to_pylist()), PAIR)
-    return tuple(pairs[f"{z}_top"].astype(np.int64) << 32 | pairs[z] for z in "xy")
+    return pairs["x"], pairs["y_top"].astype(np.int64) << 32 | pairs["y"]
 
 
 def band_edges(docs: DataFrame, min_chars: int) -> DataFrame:
     """Edges (a, b) that connect all lines of a band key; a line is known by the lower 40 bits of its k1.
 
-    What is shuffled are packed pairs of a key and a line. A key that lines of a batch share leaves with one of them; the
-    others leave as edges.
+    What is shuffled are packed pairs of a key and a line, in buckets by the upper bits of the key. A key that lines of a
+    batch share leaves with one of them; the others leave as pairs under a key of that line, so they meet there.
     """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(12, (n * BUCKETS - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            normal = normal_lines(b.column(0))[3]
-            normal = normal.filter(pc.greater_equal(pc.utf8_length(normal), min_chars)).unique()
+            normal = long_lines(b.column(0), min_chars)[2].unique()
             if not len(normal):
                 continue
-            v = np.array([key_of(x)[0] for x in normal.to_pylist()], dtype=np.int64).view(np.uint64)
-            key, v = band_keys(normal).ravel(), np.repeat(v & LINE, BANDS)
+            key, v = band_keys(normal).ravel(), np.repeat(line_keys(normal)[:, 0].view(np.uint64) & LINE, BANDS)
             order = np.argsort(key)
             key, v = key[order], v[order]
             new = np.append(True, key[1:] != key[:-1])
-            yield packed(0, key[new], v[new])
-            a, b = graph.pairs_once(v[new][np.cumsum(new) - 1][~new], v[~new])
-            if len(a):
-                yield packed(1, a, b)
+            lead = v[new][np.cumsum(new) - 1][~new]
+            a, c = graph.pairs_once(lead, v[~new])
+            yield packed(0, key[new] >> np.uint64(64 - bits), key[new], v[new])
+            if len(a):  # a key of the lead's own, under which both stand
+                own = graph.mixed(np.concatenate([a, a]) ^ graph.MIX)
+                order = np.argsort(own)
+                yield packed(1, own[order] >> np.uint64(64 - bits), own[order], np.concatenate([a, c])[order])
 
     def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b = unpacked(table["data"])
-        if table["kind"][0].as_py() == 0:
-            order = np.argsort(a, kind="stable")
-            key, v = a[order], b[order]
-            new = np.append(True, key[1:] != key[:-1])
-            a, b = v[new][np.cumsum(new) - 1], v
-        a, b = graph.pairs_once(a, b)
+        key, v = unpacked(table["data"])
+        order = np.argsort(key, kind="stable")
+        key, v = key[order], v[order]
+        new = np.append(True, key[1:] != key[:-1])
+        a, b = graph.pairs_once(v[new][np.cumsum(new) - 1][~new], v[~new])
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("text").mapInArrow(common.lean(run), "bucket long, kind long, data binary").repartition(n, "bucket", "kind").sortWithinPartitions("bucket", "kind")
     return rows.mapInArrow(common.lean(lambda batches: common.by_group(batches, ["bucket", "kind"], give)), "a long, b long").distinct()
 
@@ -286,42 +308,41 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     clusters = common.cut(graph.components(band_edges(docs, min_chars)))
     met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
-    wanted = members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list(F.struct("at.line", "u", "comp", "k1", "k2")).alias("lines"))
-    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "inner", members.count(), 72)
+    wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
+    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "inner", *common.array_bytes(wanted, "lines"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The normalised lines that were asked for; two texts can share a hash, so their keys are tested."""
+        """The normalised lines that were asked for and their keys; a line of another text with the same hash has other keys."""
         for b in batches:
-            row, number, _, normal = normal_lines(b.column(0))
+            row, _, normal = normal_lines(b.column(0))
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
-            rows = []
-            for k, lines in enumerate(b.column(1).to_pylist()):
-                for x in lines:
-                    place = int(at[k]) + x["line"]
-                    if place < at[k + 1] and key_of(text := normal[place].as_py()) == (x["k1"], x["k2"]):
-                        rows.append((x["u"], x["comp"], 1, text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]], pa.array([r[3] for r in rows], pa.string())], ["u", "comp", "weight", "text"])
-
-    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "u long, comp long, weight long, text string").dropDuplicates(["u"])
-    links = graph.linked(lines, link(similarity), TASK_LINES)
+            asked = b.column(1)
+            of = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
+            place = at[of] + asked.flatten().to_numpy()
+            normal = normal.take(pa.array(place[place < at[of + 1]]))
+            if len(normal):
+                k = line_keys(normal)
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), normal], ["k1", "k2", "text"])
+
+    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
+    found = lines.join(members.select("k1", "k2", "u", "comp"), ["k1", "k2"]).select("u", "comp", F.lit(1).cast("long").alias("weight"), "text")
+    links = graph.linked(found, link(similarity), TASK_LINES)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
     named = common.cut(grouped.join(first, "root").select("k1", "k2", "first"))
-    known = common.small_or_shuffled(unique.select("k1", "k2", "at", "n"), named, ["k1", "k2"], "left", named.count(), 48)
+    known = common.small_or_shuffled(unique.select("k1", "k2", "at", "n"), named, ["k1", "k2"], "left", named.count(), 96)
     decided = common.cut(known.where("n > 1 or first is not null").select("k1", "k2", F.coalesce("first", "at").alias("first")))
-    lost = common.small_or_shuffled(seen, decided, ["k1", "k2"], "inner", decided.count(), 48).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("hash") == F.col("first.hash"))))
+    lost = common.small_or_shuffled(seen, decided, ["k1", "k2"], "inner", decided.count(), 96).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("hash") == F.col("first.hash"))))
     return lost.groupBy(F.col("doc_id").alias("drop_doc"), F.col("hash").alias("drop_hash")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """doc = the row as it was, text = what its lines keep, n_lines and n_dropped."""
     gone = common.cut(dropped(docs, min_chars, similarity))
-    size = gone.agg(F.coalesce(F.sum(F.size("drop_lines") + 5), F.lit(0))).first()[0]
     rows = docs.select(F.struct("*").alias("doc"))
-    rows = common.small_or_shuffled(rows, gone, F.col("doc.doc_id").eqNullSafe(F.col("drop_doc")) & (F.xxhash64("doc.text") == F.col("drop_hash")), "left", size, 8)
+    rows = common.small_or_shuffled(rows, gone, F.col("doc.doc_id").eqNullSafe(F.col("drop_doc")) & (F.xxhash64("doc.text") == F.col("drop_hash")), "left", *common.array_bytes(gone, "drop_lines"))
     lines = F.split("doc.text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_lines", i.cast("long"))), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_lines", i)), "\n")
     text = F.when(F.col("drop_lines").isNull(), F.col("doc.text")).otherwise(kept)
     return rows.select("doc", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop_lines").isNull() | F.col("doc.text").isNull(), 0).otherwise(F.size("drop_lines")).cast("long").alias("n_dropped"))
 

@@ -1,5 +1,7 @@
 import gzip
 import io
+import re
+import string
 import zlib
 
 import duckdb
@@ -355,28 +357,29 @@ def test_distance_against_the_table():
         assert lines.distance(a, b) == d[-1]
 
 
-def test_simhash_is_the_majority_of_the_features():
-    rows = [[f"a{k % 400}" for k in range(n)] for n in (1, 2, 3, 254, 255, 256, 700)] + [[]]
-    got = lines.simhashes(pa.array([[*r, ""] for r in rows]))
-    import xxhash
+def test_normal_forms_against_plain_python():
+    rows = ["", None, " ", "\n", "  a  b\t\n ..a.. \n!!!\nÉté, ok — x \n .", " . a", "a . b", "a .", ". .", "x\x0by\r\n\u00a0z"]
+    for part in (pa.array(rows, pa.string()), pa.array(rows, pa.string()).slice(3, 4)):
+        row, number, normal = lines.normal_lines(part)
+        want = []
+        for k, text in enumerate(part.to_pylist()):
+            for n, line in enumerate((text or "").split("\n")):
+                plain = "".join(c for c in line.lower() if c not in string.punctuation)
+                want.append((k, n, " ".join(re.split("[ \\t\\n\\v\\f\\r]+", plain)).strip(" ")))
+        assert list(zip(row.tolist(), number.tolist(), normal.to_pylist(), strict=True)) == want
 
-    for r, g in zip(rows, got, strict=True):
-        votes = np.zeros(128, int)
-        last = np.uint64(0)
-        for w in r:
-            h = np.array([xxhash.xxh3_64_intdigest(w)], np.uint64)
-            one = graph.mixed(h + graph.MIX * np.array([last], np.uint64))
-            bits = np.unpackbits(np.stack([one, graph.mixed(one ^ graph.MIX)], axis=1).view(np.uint8), bitorder="little")
-            votes += bits.astype(int)
-            last = h[0]
-        want = np.packbits(2 * votes > len(r)).view(">u8").astype(np.uint64)
-        assert (g == want).all()
+
+def test_band_keys_follow_from_the_line_alone():
+    forms = ["a" * 20, "x" * 300_000, *(f"line {k} of some words that differ {k * k}" for k in range(300))]
+    together = lines.band_keys(pa.array(forms))
+    assert all((lines.band_keys(pa.array([x]))[0] == k).all() for x, k in zip(forms, together, strict=True))
 
 
 def test_lines_against_brute_force(spark, sf_dir):
+    """Edit similarity of all pairs, however they would be found."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").toPandas()
-    row, _, words, normal = lines.normal_lines(pa.array(docs.text))
-    s, normal = lines.simhashes(words), normal.to_pylist()
+    row, _, normal = lines.normal_lines(pa.array(docs.text))
+    normal = normal.to_pylist()
     take = [k for k, x in enumerate(normal) if len(x) >= lines.MIN_CHARS]
     root = {k: k for k in take}
 
@@ -386,8 +389,7 @@ def test_lines_against_brute_force(spark, sf_dir):
         return x
 
     for n, i in enumerate(take):
-        near = np.bitwise_count(s[take[:n]] ^ s[i]).sum(axis=1) <= lines.DIFFER if n else []
-        for j in np.flatnonzero(near):
+        for j in range(n):
             if lines.similar(normal[i], normal[take[j]], lines.SIMILARITY):
                 a, b = sorted((find(i), find(take[j])))
                 root[b] = a
