@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; bounds a worker's memory for long texts.
 BATCH_ROWS = 1024
 #: A side is broadcast only when its counted rows, at their fixed width, stay under this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Bits of a sieve at most; its broadcast is an eighth of that in bytes.
+SIEVE_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,9 +126,21 @@ def small_or_shuffled(left: DataFrame, right: DataFrame, on, how: str, right_row
     return left.join(F.broadcast(right) if right_rows * row_bytes <= BROADCAST_BYTES else right, on, how)
 
 
-def array_bytes(side: DataFrame, column: str) -> tuple[int, int]:
-    """The bytes, as rows and bytes a row, that a broadcast of side takes: two or three keys and an array of integers a row."""
-    return side.agg(F.coalesce(F.sum(128 + 4 * F.size(column)), F.lit(0))).first()[0], 1
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """rows whose key (a 64-bit hash) may be in keys' column h, and those whose key isn't: no row of keys is in the second.
+
+    A bitmap of 16 bits a key, SIEVE_BITS at most, is broadcast in pieces of 4 kB; where it is full, all rows are in the
+    first.
+    """
+    bits = min(SIEVE_BITS, max(1 << 15, 1 << (16 * n_keys - 1).bit_length()))
+    place = lambda h: F.pmod(h, F.lit(bits)) + 1
+    piece, held, at = free(rows, "_piece", "_held", "_at")
+    bitmap = cut(keys.groupBy(F.bitmap_bucket_number(place(F.col("h"))).alias(piece)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(F.col("h")))).alias(held)))
+    asked = rows.withColumn(at, place(key)).join(F.broadcast(bitmap), F.bitmap_bucket_number(F.col(at)) == F.col(piece), "left")
+    bit = F.bitmap_bit_position(F.col(at)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.shiftright(bit, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, bit % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return asked.where(hit).drop(piece, held, at), asked.where(~hit).drop(piece, held, at)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], give: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

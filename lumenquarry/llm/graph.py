@@ -121,7 +121,7 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
     n_large = sizes.count()
 
     def run(rows: DataFrame) -> DataFrame:
-        def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        def stars(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if table.num_rows < 2:
                 return
             table = table.combine_chunks()
@@ -134,10 +134,22 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
             root = s_u[np.flatnonzero(new)][np.cumsum(new) - 1]
             multi = s_u != root
             if multi.any():
-                yield pa.RecordBatch.from_arrays([pa.array(s_u[multi]), pa.array(root[multi])], ["b", "a"])
+                yield s_u[multi], root[multi]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The stars of many small clusters leave together."""
+            held, n = [], 0
+            for b, a in common.by_group(batches, ["comp", "task"], stars):
+                held.append((b, a))
+                n += len(b)
+                if n >= 8192:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["b", "a"])
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["b", "a"])
 
         placed = rows.repartition(n, "comp", "task").sortWithinPartitions("comp", "task", "u")
-        return placed.select("comp", "task", "label", *[c for c in cols if c != "comp"]).mapInArrow(common.lean(lambda batches: common.by_group(batches, ["comp", "task"], give)), "b long, a long")
+        return placed.select("comp", "task", "label", *[c for c in cols if c != "comp"]).mapInArrow(common.lean(task), "b long, a long")
 
     if n_large == 0:
         edges = common.cut(run(members.withColumns({"task": F.lit(0).cast("long"), "label": F.col("u")})))

@@ -2,7 +2,7 @@
 
 A line is what stands between line feeds. It is normalised: lower case, without ASCII punctuation, its words joined by
 one space. Lines with fewer than `min_chars` normalised characters are left alone. Two lines are linked when their
-normalised forms are equal, or when they meet as candidates and the forms' edit similarity, 1 - distance / longer
+normalised forms are equal, or when they share a band key and the forms' edit similarity, 1 - distance / longer
 length, is at least `similarity`. Of each connected group of lines over the whole corpus the first occurrence, by
 (doc_id, line number), stays; the others are dropped.
 
@@ -13,11 +13,13 @@ length, is at least `similarity`. Of each connected group of lines over the whol
    similarity whose edits are scattered over all words can be missed (figures, also of the SimHash blocks that these keys
    stand in for: README). Different lines that share a key form candidate clusters through star edges; no pairs are
    listed.
-3. In a cluster the lines' texts are fetched and all pairs that aren't yet connected are verified: an edit changes at
-   most `q` grams of `q` characters, so pairs whose gram counts differ by more need no distance; no link is lost there.
+3. In a cluster the lines' texts are fetched and the pairs that share a key and aren't yet connected are verified: words
+   replaced in their places are a bound from above, pairs of characters that stand too far away one from below; what
+   neither decides is computed.
 
-The decisions, a list of line numbers for each document that loses any, are joined with the texts: by broadcast while
-their counted size is small, by a shuffle beyond that.
+The lines to fetch and the decisions, lists of line numbers for the documents concerned, are joined with the texts: by
+broadcast while their counted size is small; beyond that a sieve of bounded size passes the documents concerned (and a
+few others), and only those are shuffled.
 
 Null text: stays null, no lines. Empty text: one line that is left alone. Very long texts and lines: whole. A document is
 known by doc_id and a 64-bit hash of its text, so rows that share a doc_id, or have none, are told apart. Null doc_id:
@@ -28,6 +30,7 @@ broken by (doc_id, line number, hash). Empty table: no rows. Extra columns are r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ GRAM, ROWS, BANDS = 6, 5, 20
 BINS, EMPTY, TRIES = ROWS * BANDS, np.uint32(0xFFFFFFFF), 64
 #: For each try the bin that an empty bin takes its minimum from.
 DONORS = (graph.mixed(np.arange(1, TRIES * BINS + 1)) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
-#: Characters and cells of the counts that are compared before a distance is computed.
-COUNTED, CELLS = 3, 256
+#: Cells of the pairs of characters that are compared before a distance is computed.
+PLACES = 512
 #: Lines that one task verifies at once; a larger cluster is cut into blocks.
 TASK_LINES = 2048
 #: ASCII punctuation, which goes (1), and white space (2).
@@ -99,8 +102,11 @@ def line_keys(normal: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
 
 
-def distance(a: str, b: str) -> int:
-    """The least number of inserted, deleted or replaced characters, a column of the table in one integer's bits."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """The least number of inserted, deleted or replaced characters, a column of the table in one integer's bits.
+
+    With most, a distance beyond it may be told as most + 1.
+    """
     s = 0
     while s < min(len(a), len(b)) and a[s] == b[s]:
         s += 1
@@ -113,13 +119,21 @@ def distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top, up, down, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
-    for c in b:
+    end = len(b) + (len(a) + len(b) if most is None else most)  # each column that is left takes off one at most
+    for k, c in enumerate(b, 1):
         eq = at.get(c, 0)
         vertical = eq | down
         level = (((eq & up) + up) ^ up) | eq
         more = down | ~(level | up) & full
         less = up & level
-        score += bool(more & top) - bool(less & top)
+        if more & top:
+            score += 1
+            if score + k > end:
+                return most + 1
+        elif less & top:
+            score -= 1
+        elif score + k > end:
+            return most + 1
         more = (more << 1 | 1) & full
         up = (less << 1) & full | ~(vertical | more) & full
         down = more & vertical
@@ -128,7 +142,33 @@ def distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str, least: float) -> bool:
     longer = max(len(a), len(b))
-    return longer == 0 or (abs(len(a) - len(b)) <= (1 - least) * longer + 1e-9 and 1 - distance(a, b) / longer >= least)
+    most = int((1 - least) * longer + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True  # words replaced in their places
+    return not apart(cells_of(a), cells_of(b), most) and distance(a, b, most) <= most
+
+
+@lru_cache(maxsize=4096)
+def cells_of(line: str) -> np.ndarray:
+    """The cell, of PLACES, of each pair of characters that follow one another."""
+    c = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    return mixed32(c[:-1] * np.uint32(0x01000193) + c[1:]) % np.uint32(PLACES)
+
+
+def apart(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether two lines, by their cells, surely differ by more than `most` edits.
+
+    An edit changes at most two pairs of a, and a pair that none changes stands in b at most `most` places away. So at most
+    2 * most pairs of a's halves can be absent from what of b lies that near to the half.
+    """
+    half = len(a) // 2
+    absent = 0
+    for mine, other in ((a[:half], b[: half + most]), (a[half:], b[max(half - most, 0) :])):
+        absent += np.maximum(np.bincount(mine, minlength=PLACES) - np.bincount(other, minlength=PLACES), 0).sum()
+    return bool(absent > 2 * most)
 
 
 def mixed32(x: np.ndarray) -> np.ndarray:
@@ -267,32 +307,18 @@ def band_edges(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(common.lean(lambda batches: common.by_group(batches, ["bucket", "kind"], give)), "a long, b long").distinct()
 
 
-def gram_counts(lines: list[str]) -> np.ndarray:
-    """For each line how many of its grams of COUNTED characters fall into each of CELLS cells."""
-    out = np.zeros((len(lines), CELLS), np.int32)
-    for k, x in enumerate(lines):
-        c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-        h = np.zeros(max(len(c) - COUNTED + 1, 0), np.uint32)
-        for j in range(COUNTED):
-            h = h * np.uint32(0x01000193) + c[j : j + len(h)]
-        out[k] = np.bincount(mixed32(h) % np.uint32(CELLS), minlength=CELLS)
-    return out
-
-
 def link(similarity: float):
+    """Verifies the pairs of a cluster that share a band key and aren't connected yet."""
+
     def run(table: pa.Table, labels: np.ndarray) -> np.ndarray:
         label = labels.astype(np.int64)
         line = table["text"].to_pylist()
-        size, counts = np.array([len(x) for x in line]), gram_counts(line)
+        size = np.array([len(x) for x in line])
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u4").reshape(len(line), BANDS)
         for i in range(len(line) - 1):
             rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            edits = (1 - similarity) * np.maximum(size[rest], size[i]) + 1e-6
-            near = np.abs(size[rest] - size[i]) <= edits
-            rest, edits = rest[near], edits[near]
-            differ = counts[rest] - counts[i]
-            more = np.maximum(differ, 0).sum(axis=1)
-            rest = rest[np.maximum(more, more - differ.sum(axis=1)) <= COUNTED * edits]
-            for j in rest.tolist():
+            rest = rest[np.abs(size[rest] - size[i]) <= (1 - similarity) * np.maximum(size[rest], size[i]) + 1e-6]
+            for j in rest[(keys[rest] == keys[i]).any(axis=1)].tolist():
                 if label[i] != label[j] and similar(line[i], line[j], similarity):
                     label[label == label[j]] = label[i]
         return label
@@ -309,7 +335,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
-    texts = common.small_or_shuffled(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "inner", *common.array_bytes(wanted, "lines"))
+    texts = with_lines(docs.select("doc_id", "text"), "doc_id", "text", wanted, "lines").where("lines is not null")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The normalised lines that were asked for and their keys; a line of another text with the same hash has other keys."""
@@ -321,11 +347,11 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
             place = at[of] + asked.flatten().to_numpy()
             normal = normal.take(pa.array(place[place < at[of + 1]]))
             if len(normal):
-                k = line_keys(normal)
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), normal], ["k1", "k2", "text"])
+                k, bands = line_keys(normal), band_keys(normal).astype("<u4").view(f"V{4 * BANDS}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), normal, pa.array(bands.tolist(), pa.binary())], ["k1", "k2", "text", "keys"])
 
-    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"])
-    found = lines.join(members.select("k1", "k2", "u", "comp"), ["k1", "k2"]).select("u", "comp", F.lit(1).cast("long").alias("weight"), "text")
+    lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "k1 long, k2 long, text string, keys binary").dropDuplicates(["k1", "k2"])
+    found = lines.join(members.select("k1", "k2", "u", "comp"), ["k1", "k2"]).select("u", "comp", F.lit(1).cast("long").alias("weight"), "text", "keys")
     links = graph.linked(found, link(similarity), TASK_LINES)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
@@ -336,11 +362,26 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     return lost.groupBy(F.col("doc_id").alias("drop_doc"), F.col("hash").alias("drop_hash")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 
+def with_lines(docs: DataFrame, doc_id: str, text: str, side: DataFrame, lines: str) -> DataFrame:
+    """docs with the line numbers that side (a doc_id, a hash of the text, lines) has for them, null where it has none.
+
+    While side's counted size is small it is broadcast. Beyond that a sieve of bounded size tells apart the documents that
+    side can't have; the others meet it by a shuffle.
+    """
+    names = side.columns
+    on = F.col(doc_id).eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1]))
+    size = side.agg(F.coalesce(F.sum(128 + 4 * F.size(lines)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    if size.bytes <= common.BROADCAST_BYTES:
+        return docs.join(F.broadcast(side), on, "left").drop(*names[:2])
+    passed = common.sieved(docs, F.xxhash64(F.col(doc_id), F.xxhash64(text)), side.select(F.xxhash64(names[0], names[1]).alias("h")), size.n)
+    met = passed[0].join(side.hint("shuffle_merge"), on, "left").drop(*names[:2])
+    return met.unionByName(passed[1].withColumn(lines, F.lit(None).cast("array<int>")))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """doc = the row as it was, text = what its lines keep, n_lines and n_dropped."""
     gone = common.cut(dropped(docs, min_chars, similarity))
-    rows = docs.select(F.struct("*").alias("doc"))
-    rows = common.small_or_shuffled(rows, gone, F.col("doc.doc_id").eqNullSafe(F.col("drop_doc")) & (F.xxhash64("doc.text") == F.col("drop_hash")), "left", *common.array_bytes(gone, "drop_lines"))
+    rows = with_lines(docs.select(F.struct("*").alias("doc")), "doc.doc_id", "doc.text", gone, "drop_lines")
     lines = F.split("doc.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_lines", i)), "\n")
     text = F.when(F.col("drop_lines").isNull(), F.col("doc.text")).otherwise(kept)

@@ -355,6 +355,8 @@ def test_distance_against_the_table():
             for j, y in enumerate(b):
                 prev, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, prev + (x != y))
         assert lines.distance(a, b) == d[-1]
+        for most in range(12):
+            assert min(lines.distance(a, b, most), most + 1) == min(d[-1], most + 1)
 
 
 def test_normal_forms_against_plain_python():
@@ -398,6 +400,14 @@ def test_lines_against_brute_force(spark, sf_dir):
     assert (got.n_dropped.to_numpy() == want).all() and want.sum() > 0
 
 
+def test_lines_beyond_the_broadcast_limit_are_the_same(spark, sf_dir, monkeypatch):
+    docs = common.table(spark, sf_dir, "documents").withColumn("_at", F.lit(1)).withColumn("_piece", F.lit(2))
+    one = lines.dedup_lines(docs).select("doc.*", F.col("text").alias("kept"), "n_dropped")
+    one = sorted(map(str, one.collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, lines.dedup_lines(docs).select("doc.*", F.col("text").alias("kept"), "n_dropped").collect())) == one
+
+
 def test_lines_with_a_replaced_word_are_found(spark):
     """Recall against brute force on edit similarity alone."""
     rng = np.random.default_rng(5)
