@@ -68,10 +68,12 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where that is unset a folder of this machine."""
+    """The folder that all machines share: spark.checkpoint.dir, or where that is unset and all runs on this machine, one here."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="lumenquarry-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -80,23 +82,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its files go when nothing refers to them any more."""
+    """df, computed once and kept in the shared folder.
+
+    The files go when nothing refers to them any more where spark.cleaner.referenceTracking.cleanCheckpoints is set, and
+    otherwise at the end of the driver's process.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        atexit.register(remove, file.get())
+    return out
+
+
+def remove(path: str) -> None:
+    try:
+        fs, inner = filesystem(path)
+        fs.delete_dir(inner)
+    except (OSError, pa.ArrowException):
+        pass
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder name under the shared folder, removed at the end of the driver's process."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            fs, inner = filesystem(path)
-            fs.delete_dir(inner)
-        except OSError:
-            pass
-
-    atexit.register(remove)
+    atexit.register(remove, path)
     return path
 
 

@@ -1,7 +1,7 @@
 """Operator 10, sharding: a k-d tree over metadata whose leaves hold nearly equal bytes.
 
 Every row is a point: a coordinate in 0 to CELLS - 1 for each metadata dimension (numbers by their place between the
-least and the largest value, strings by a hash, null as the least). A node is split at the weighted median, by bytes,
+least and the largest value, strings likewise by their first PREFIX bytes, null as the least). A node is split at the weighted median, by bytes,
 along its widest dimension; rows of the median's cell are parted by a hash, so a value that a third of the rows share
 still splits evenly. Given target_bytes, every node of more bytes is split, for as long as its rows can be parted; without
 it splitting goes on to 2 ** levels leaves, as op10 asks (16).
@@ -15,7 +15,8 @@ gapless in a shard: a row's number within (shard, part) plus the rows of earlier
 Law: bytes (sizes nearly equal); grown_shard is null. Null or empty text: size 1, checksum 0. Very long texts: one row;
 a shard can exceed its share by no more than the rows that meet at a median's hash cell. Ties and repeated rows: parted
 by a row number taken when the narrow table is written. Null doc_id: a point like others. Empty table: no rows. Extra
-columns are ignored by op10; `shard_rows` takes any.
+columns are ignored by op10; `shard_rows` takes any, also where their names are those used here inside. Equal texts aren't
+kept together.
 """
 
 from __future__ import annotations
@@ -26,35 +27,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CELLS, LEVELS, NODES_AT_ONCE = 4096, 4, 64
+CELLS, LEVELS, NODES_AT_ONCE, PREFIX = 4096, 4, 64, 6
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
 def coordinates(rows: DataFrame, dimensions: tuple[str, ...]) -> list[Column]:
     kinds = dict(rows.dtypes)
-    numbers = [d for d in dimensions if kinds[d] != "string"]
-    ends = rows.agg(*[f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in numbers for n, f in (("lo", F.min), ("hi", F.max))]).first() if numbers else {}
+    place = {d: F.conv(F.rpad(F.hex(F.substring(F.col(d).cast("binary"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("double") if kinds[d] == "string" else F.col(d).cast("double") for d in dimensions}
+    ends = rows.agg(*[f(place[d]).alias(f"{n}_{d}") for d in dimensions for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = []
     for d in dimensions:
-        if d not in numbers:
-            cell = F.pmod(F.xxhash64(d), F.lit(CELLS))
-        elif ends[f"lo_{d}"] is None:
-            cell = F.lit(0)
-        else:
-            span = (ends[f"hi_{d}"] - ends[f"lo_{d}"]) or 1.0
-            cell = F.least(F.floor((F.col(d).cast("double") - ends[f"lo_{d}"]) / span * CELLS), F.lit(CELLS - 1))
+        if ends[f"lo_{d}"] is None:
+            out.append(F.lit(0))
+            continue
+        span = (ends[f"hi_{d}"] - ends[f"lo_{d}"]) or 1.0
+        cell = F.least(F.floor((place[d] - ends[f"lo_{d}"]) / span * CELLS), F.lit(CELLS - 1))
         out.append(F.when(F.col(d).isNull(), 0).otherwise(cell).cast("int"))
     return out
 
 
-def medians(sums: np.ndarray, cells: np.ndarray, before: float, whole: float, near: bool = False) -> tuple[int, float]:
-    """The cell in which half of the whole is reached, or with near the cell after which it is nearest; the sum before it."""
+def middle(sums: np.ndarray, cells: np.ndarray) -> tuple[int, float]:
+    """The cell in which half of the whole is reached, and the sum before it."""
     order = np.argsort(cells)
-    reach = before + np.cumsum(sums[order])
-    k = int(np.argmin(np.abs(reach - whole / 2))) if near else min(int(np.searchsorted(reach, whole / 2)), len(order) - 1)
+    reach = np.cumsum(sums[order])
+    k = min(int(np.searchsorted(reach, reach[-1] / 2)), len(order) - 1)
     return int(cells[order][k]), float(reach[k] - sums[order][k])
 
 
+def last_left(sums: np.ndarray, ties: np.ndarray, before: float, whole: float) -> int:
+    """The tie after which the sum is nearest to half of the whole; -1: before the first."""
+    order = np.argsort(ties)
+    reach = np.concatenate([[before], before + np.cumsum(sums[order])])
+    k = int(np.argmin(np.abs(reach - whole / 2)))
+    return int(ties[order][k - 1]) if k else -1
+
+
 def splits(at: DataFrame, n_dims: int, part: bool = False) -> dict[int, tuple[int, int, int]]:
     """For each node of the points: the dimension, the median's cell and the tie after which its rows go right.
 
@@ -71,7 +78,7 @@ def splits(at: DataFrame, n_dims: int, part: bool = False) -> dict[int, tuple[in
         dim = int(width.idxmax())
         mine = of_node[of_node["dim"] == dim]
         whole = float(mine["w"].sum())
-        picked[int(n)] = (dim, *medians(mine["w"].to_numpy(float), mine["cell"].to_numpy(), 0.0, whole), whole)
+        picked[int(n)] = (dim, *middle(mine["w"].to_numpy(float), mine["cell"].to_numpy()), whole)
 
     def of(k: int) -> Column:
         """What was picked for the row's node."""
@@ -83,26 +90,34 @@ def splits(at: DataFrame, n_dims: int, part: bool = False) -> dict[int, tuple[in
     for n, (dim, median, before, whole) in picked.items():
         mine = inner[inner["node"] == n]
         ties = np.sort(mine["tie"].to_numpy())
-        tie = medians(mine["w"].to_numpy(float), mine["tie"].to_numpy(), before, whole, near=True)[0]
+        tie = last_left(mine["w"].to_numpy(float), mine["tie"].to_numpy(), before, whole)
         if part and median == last[n, dim] and tie == ties[-1]:
             tie = -1 if before else int(ties[max(len(ties) - 2, 0)])
         out[n] = (dim, median, tie)
     return out
 
 
-def leaves(points: DataFrame, n_dims: int, levels: int) -> Column:
-    """The leaf, 0 to 2 ** levels - 1, of a point (c0, c1, ..., tie, size)."""
-    node = F.lit(1)
-    for _ in range(levels):
-        picked = splits(points.withColumn("node", node), n_dims)
-        if not picked:
-            return F.lit(0)
-        step = F.lit(0)
-        for n, (dim, median, tie) in picked.items():
-            c = F.col(f"c{dim}")
-            step = F.when(node == n, ((c > median) | ((c == median) & (F.col("tie") > tie))).cast("int")).otherwise(step)
-        node = node * 2 + step
-    return node - 2**levels
+def leaves(points: DataFrame, n_dims: int, levels: int) -> DataFrame:
+    """points (c0, c1, ..., tie, size) with shard, the leaf, 0 to 2 ** levels - 1; each level's nodes are kept as a column."""
+    at = points.withColumn("node", F.lit(1).cast("long"))
+    for level in range(levels):
+        picked: dict[int, tuple[int, int, int]] = {}
+        for k in range(0, 1 << level, NODES_AT_ONCE):
+            picked |= splits(at.where(F.col("node").between((1 << level) + k, (1 << level) + k + NODES_AT_ONCE - 1)) if level > 6 else at, n_dims)
+            if level <= 6:
+                break
+        at = common.cut(stepped(at, picked, n_dims))
+    return at.withColumn("shard", (F.col("node") - 2**levels).cast("int")).drop("node")
+
+
+def stepped(at: DataFrame, picked: dict[int, tuple[int, int, int]], n_dims: int) -> DataFrame:
+    """at with the rows of the picked nodes moved to the children."""
+    side = at.sparkSession.createDataFrame([(n, *p) for n, p in picked.items()], "node long, _dim int, _median int, _tie int")
+    own = F.get(F.array(*[F.col(f"c{d}") for d in range(n_dims)]), F.col("_dim"))
+    right = (own > F.col("_median")) | ((own == F.col("_median")) & (F.col("tie") > F.col("_tie")))
+    joined = common.small_or_shuffled(at, side, "node", "left", len(picked), 40)
+    node = F.when(F.col("_dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))
+    return joined.withColumn("node", node).drop("_dim", "_median", "_tie")
 
 
 def grown(points: DataFrame, n_dims: int, target_bytes: int) -> DataFrame:
@@ -120,39 +135,33 @@ def grown(points: DataFrame, n_dims: int, target_bytes: int) -> DataFrame:
         picked: dict[int, tuple[int, int, int]] = {}
         for k in range(0, len(split), NODES_AT_ONCE):
             picked |= splits(at.where(F.col("node").isin(split[k : k + NODES_AT_ONCE])), n_dims, part=True)
-        side = spark.createDataFrame([(n, *p) for n, p in picked.items()], "node long, _dim int, _median int, _tie int")
-        own = F.get(F.array(*[F.col(f"c{d}") for d in range(n_dims)]), F.col("_dim"))
-        right = (own > F.col("_median")) | ((own == F.col("_median")) & (F.col("tie") > F.col("_tie")))
-        joined = common.small_or_shuffled(at, side, "node", "left", len(picked), 40)
-        node = F.when(F.col("_dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))
-        at = common.cut(joined.withColumn("node", node).drop("_dim", "_median", "_tie"))
+        at = common.cut(stepped(at, picked, n_dims))
     order = sorted((r.node for r in sizes), key=lambda n: n / (1 << n.bit_length()))
     shards = spark.createDataFrame([(n, k) for k, n in enumerate(order)], "node long, shard int")
     return common.small_or_shuffled(at, shards, "node", "inner", len(order), 24).drop("node")
 
 
 def shard_rows(rows: DataFrame, dimensions: tuple[str, ...], levels: int = LEVELS, target_bytes: int | None = None) -> DataFrame:
-    """rows, which have a column size, with shard and slot; one row out for each row in.
+    """rows, which have a column size, with shard and slot (with signs added where rows has such columns); one row out for each row in.
 
     With target_bytes a shard has more bytes only where its rows can't be parted; levels is then ignored.
 
     The columns of rows are kept in the shared folder while the tree is built, so give narrow rows.
     """
     spark = rows.sparkSession
-    points = rows.select("*", *[c.alias(f"c{k}") for k, c in enumerate(coordinates(rows, dimensions))], F.monotonically_increasing_id().alias("_row"))
-    points = points.withColumn("_hash", F.xxhash64("doc_id", "_row")).withColumn("tie", F.pmod("_hash", F.lit(CELLS)).cast("int"))
+    shard, slot = common.free(rows, "shard", "slot")
+    places = [c.alias(f"c{k}") for k, c in enumerate(coordinates(rows, dimensions))]
+    points = rows.select(F.struct("*").alias("row"), F.col("size").cast("long").alias("size"), *places, F.monotonically_increasing_id().alias("at"))
+    points = points.withColumn("hash", F.xxhash64("row", "at")).withColumn("tie", F.pmod("hash", F.lit(CELLS)).cast("int"))
     points = common.cut(points)
-    if target_bytes is None:
-        placed = points.withColumn("shard", leaves(points, len(dimensions), levels).cast("int"))
-    else:
-        placed = grown(points, len(dimensions), target_bytes)
+    placed = leaves(points, len(dimensions), levels) if target_bytes is None else grown(points, len(dimensions), target_bytes)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.withColumn("_part", F.pmod(F.shiftright("_hash", 20), F.lit(parts)).cast("int"))
-    counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_hash", "_row")) - 1
-    out = placed.withColumn("_within", within).join(F.broadcast(before), ["shard", "_part"])
-    return out.select(*rows.columns, "shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"))
+    placed = placed.withColumn("part", F.pmod(F.shiftright("hash", 20), F.lit(parts)).cast("int"))
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = common.cut(counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("hash", "at")) - 1
+    out = common.small_or_shuffled(placed.withColumn("within", within), before, ["shard", "part"], "inner", before.count(), 64)
+    return out.select("row.*", F.col("shard").alias(shard), (F.col("before") + F.col("within")).cast("long").alias(slot))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

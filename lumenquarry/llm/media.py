@@ -1,8 +1,11 @@
 """Operator 2, media columns: interleaved sequences of text and media references whose payloads a digest join resolves.
 
 `interleave` parses HTML into an ordered array of (position, kind, text, ref, caption): runs of text, and references of
-img, video and audio elements in their places; a caption is the figure's figcaption, else the alt text. `resolve` joins
-references of the form sha256:<hex> with a media table by digest and puts what it found at the same positions.
+img, video and audio elements in their places. An element's reference is its src, data-src or the first of its srcset;
+without one, that of the first source element inside it (a picture's source counts as its img's). A caption is the
+figure's figcaption, else the alt text; a figcaption that isn't closed ends at the next block element, and one without
+media is text. `resolve` joins references of the form sha256:<hex> with a media table by digest and puts what it found at
+the same positions; segments without a digest don't take part in the join.
 
 A media table holds each payload as an 8-bit grey PNG, 64 samples a row, with its SHA-256. `store_texts` makes one from
 texts: UTF-8 and bytes 0 up to a positive multiple of 64. It is written to the shared folder where the text is read, so
@@ -36,6 +39,7 @@ LEVEL = 1
 SEGMENT = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 MEDIA_TAGS = {"img", "video", "audio"}
 SILENT_TAGS = {"script", "style"}
+BLOCK_TAGS = {"p", "div", "article", "section", "ul", "ol", "table", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -95,50 +99,98 @@ class Sequence(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.figure: int | None = None
+        self.open: dict | None = None  # a video, audio or picture without a reference yet
         self.silent = 0
 
+    def put(self, kind: str, text: str | None = None, ref: str | None = None, caption: str | None = None) -> None:
+        self.out.append({"position": len(self.out), "kind": kind, "text": text, "ref": ref, "caption": caption})
+
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.out.append({"position": len(self.out), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.put("text", text)
         self.text = []
 
+    def end_caption(self) -> None:
+        """Gives the caption to the figure's media; a caption without media is text."""
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        media = [x for x in self.out[self.figure if self.figure is not None else len(self.out) :] if x["kind"] != "text"]
+        for x in media:
+            x["caption"] = said
+        if not media:
+            self.text.append(f" {said} ")
+            self.late = said if self.figure is not None else None
+
+    late: str | None = None  # a caption that came before its figure's media
+
+    def media(self, kind: str, ref: str, caption: str | None) -> None:
+        self.flush()
+        if self.late is not None and self.figure is not None:
+            if self.out and self.out[-1]["text"] == self.late:
+                self.out.pop()
+            caption = self.late
+        self.put(kind, ref=ref, caption=caption)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        at = dict(attrs)
+        at = {k: v for k, v in attrs if v}
+        listed = at.get("srcset", "").split()
+        ref = at.get("src") or at.get("data-src") or (listed[0].rstrip(",") if listed else None)
+        if tag in BLOCK_TAGS:
+            self.end_caption()
         if tag in SILENT_TAGS:
             self.silent += 1
         elif tag == "figure":
             self.flush()
-            self.figure = len(self.out)
+            self.figure, self.late = len(self.out), None
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
-        elif tag in MEDIA_TAGS and at.get("src"):
-            self.flush()
-            self.out.append({"position": len(self.out), "kind": tag, "text": None, "ref": at["src"], "caption": at.get("alt")})
+        elif tag in MEDIA_TAGS and ref:
+            self.media(tag, ref, at.get("alt"))
+            if tag == "img":
+                self.open = None
+        elif tag == "img" and self.open and self.open["ref"]:
+            self.media("img", self.open["ref"], at.get("alt"))
+            self.open = None
+        elif tag in ("video", "audio", "picture"):
+            self.open = {"kind": tag, "ref": None}
+        elif tag == "source":
+            if self.open and ref and not self.open["ref"]:
+                self.open["ref"] = ref
         elif tag not in ("b", "i", "em", "strong", "a", "span"):
-            self.text.append(" ")
+            (self.text if self.caption is None else self.caption).append(" ")
+
+    def end_open(self) -> None:
+        """A video, audio or picture whose only reference is a source's."""
+        if self.open and self.open["ref"]:
+            self.media("img" if self.open["kind"] == "picture" else self.open["kind"], self.open["ref"], None)
+        self.open = None
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT_TAGS:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for x in self.out[self.figure if self.figure is not None else len(self.out) :]:
-                if x["kind"] != "text":
-                    x["caption"] = said
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag in ("video", "audio", "picture"):
+            self.end_open()
         elif tag == "figure":
+            self.end_caption()
+            self.end_open()
             self.flush()
-            self.figure = None
+            self.figure, self.late = None, None
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
-            return
-        (self.text if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            (self.text if self.caption is None else self.caption).append(data)
 
 
 def segments(html: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(html or "")
     parser.close()
+    parser.end_caption()
+    parser.end_open()
     parser.flush()
     return parser.out
 
@@ -159,7 +211,11 @@ def resolve(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
     """key, position, kind, text, caption, digest of every segment with media's other columns; media is unique by digest."""
     each = sequences.select(key, F.explode("segments").alias("s")).select(key, "s.*")
     each = each.withColumn("digest", F.when(F.startswith("ref", F.lit("sha256:")), F.substring("ref", 8, 64))).drop("ref")
-    return each.join(media, "digest", "left")
+    without = each.where("digest is null")
+    for name, kind in media.drop("digest").dtypes:
+        without = without.withColumn(name, F.lit(None).cast(kind))
+    found = each.where("digest is not null").join(media, "digest", "left")
+    return found.unionByName(without.select(found.columns))
 
 
 def store_texts(docs: DataFrame, path: str) -> None:

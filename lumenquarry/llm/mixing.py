@@ -7,12 +7,14 @@ whole block away from its share. The schedule repeats after `period` slots, so o
 slot follows from its number. When a source runs out, the others' weights are scaled up and a new phase begins: no row
 is dropped or repeated.
 
-Weights that aren't given follow the sources' sizes to the power `temperature`; either way they are rounded to parts of
-the period, at least one part each. Block numbers come from counts: a source is dealt by a hash into salts of about
+Weights that aren't given follow the sources' sizes to the power `temperature`; either way those over 0 are rounded to
+parts of the period, at least one part each. A source of weight 0 comes after all others have run out. Block numbers come from counts: a source is dealt by a hash into salts of about
 `salt_rows` rows, which are numbered on their own, so a source with a third of all rows is spread like the others. The
-driver sees a row for each source. The phases' table is broadcast while its counted size is small.
+driver sees a row for each source, and the phases' table, a row for each source and phase in which it has blocks, is made
+there: with many sources of unlike lengths it grows with their number's square. It is broadcast while its counted size is
+small.
 
-Null source: a source of its own, listed as null. Null doc_id: numbered first. Null, empty and very long texts: rows
+Null source: a source of its own, listed as null. Null doc_id: numbered first, dealt by a hash of the row. Null, empty and very long texts: rows
 like others. Ties and repeated rows: ordered by doc_id, then by a hash of the row; each is a row of the result. Empty
 table: no rows. Extra columns are returned as they were, also where their names are those used here inside.
 """
@@ -63,11 +65,14 @@ def one_period(parts: list[int]) -> list[list[int]]:
 
 
 def phases(blocks: list[int], weights: list[float], period: int) -> list[dict]:
-    """A row for each source in each phase: its first block there, the phase's first slot and the slots of a period."""
+    """A row for each source in each phase: its first block there, the phase's first slot and the slots of a period.
+
+    Sources of weight 0 have no slot before all others have run out.
+    """
     left, done, start, rows, phase = list(blocks), [0] * len(blocks), 0, [], 0
-    while alive := [s for s in range(len(blocks)) if left[s]]:
+    while alive := [s for s in range(len(blocks)) if left[s] and weights[s] > 0] or [s for s in range(len(blocks)) if left[s]]:
         span = max(period, 4 * len(alive))
-        parts = parts_of([weights[s] for s in alive], span)
+        parts = parts_of([weights[s] or 1.0 for s in alive], span)
         slots = one_period(parts)
         ends = [(left[s] - 1) // c * span + x[(left[s] - 1) % c] + 1 for s, c, x in zip(alive, parts, slots, strict=True)]
         end = min(ends)
@@ -89,7 +94,7 @@ def numbered(docs: DataFrame, block_rows: int, salt_rows: int) -> tuple[DataFram
     sizes = common.cut(sizes)
     n_sources = sizes.count()
     salted = common.small_or_shuffled(docs, sizes.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left", n_sources, 64).drop("_source")
-    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int")).drop("_salts")
+    salted = salted.withColumn("_salt", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id")), F.col("_salts")).cast("int")).drop("_salts")
     counts = common.cut(salted.groupBy("source", "_salt").agg(F.ceil(F.count("*") / block_rows).alias("_n")))
     offsets = counts.withColumn("_offset", F.sum("_n").over(Window.partitionBy("source").orderBy("_salt")) - F.col("_n"))
     n_salts = counts.count()
@@ -103,14 +108,16 @@ def numbered(docs: DataFrame, block_rows: int, salt_rows: int) -> tuple[DataFram
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, salt_rows: int = SALT_ROWS, temperature: float = TEMPERATURE, period: int = PERIOD) -> DataFrame:
-    """docs with mix = (phase, block, slot, place, release, deadline); the order (slot, place) is the mixture's."""
+    """docs and, last, mix = (phase, block, slot, place, release, deadline); the order (slot, place) is the mixture's.
+
+    Where docs has a column mix, the new one's name gets signs added. A source that weights doesn't name has weight 0.
+    """
     spark = docs.sparkSession
     kept = docs.columns
     inner = docs.select("doc_id", "source", F.struct(*kept).alias("row"), *(["text"] if "text" in kept else []))
     rows, totals = numbered(inner, block_rows, salt_rows)
     given = [weights.get(s, 0.0) if weights else n**temperature for s, n in totals]
-    least = min((w for w in given if w > 0), default=1.0)
-    table = phases([n for _, n in totals], [w or least / 1000 for w in given], period)
+    table = phases([n for _, n in totals], given, period)
     schema = "_source string, phase int, first_block long, last_block long, first_slot long, period int, slots array<int>"
     data = [(totals[r["source"]][0], r["phase"], r["first_block"], r["last_block"], r["first_slot"], r["period"], r["slots"]) for r in table]
     plan = spark.createDataFrame(data, schema)
@@ -127,11 +134,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         (F.col("first_slot") + F.floor(k * F.col("period") / c)).alias("release"),
         (F.col("first_slot") + F.ceil((k + 1) * F.col("period") / c)).alias("deadline"),
     )
-    return out.select("row.*", mixed.alias("_mix")) if "mix" in kept else out.select("row.*", mixed.alias("mix"))
+    return out.select("row.*", mixed.alias(common.free(docs, "mix")[0]))
 
 
-def in_order(mixed: DataFrame, column: str = "mix") -> DataFrame:
-    """Rows sorted into the mixture's order, without the schedule's columns."""
+def in_order(mixed: DataFrame) -> DataFrame:
+    """mix's rows sorted into the mixture's order, without the schedule."""
+    column = mixed.columns[-1]
     order: list[Column] = [F.col(f"{column}.slot"), F.col(f"{column}.place")]
     return mixed.orderBy(*order).drop(column)
 

@@ -7,7 +7,7 @@ document fails above MAX_WORD_DISTANCE or MAX_CHAR_DISTANCE. Guard: under MIN_WO
 at. Every language has a reference, however small its share.
 
 Native throughout. The counts run over all documents. A sketch names words that may be common (its error is far below
-the share asked for) and exact counts decide; a language has at most COMMON common words. References are broadcast while their counted
+the share asked for; sketches meet by language and group of tasks first) and exact counts decide; a language has at most COMMON common words. References are broadcast while their counted
 size is small, and then the text is never shuffled: measures of a document are computed in its row, and kept for the
 second look in the shared folder. Beyond that only those of languages with 1/LANGUAGE of the rows or more are broadcast,
 at most LANGUAGE of them; rows of the others, none of which is a hot key, are joined by a shuffle.
@@ -26,6 +26,8 @@ from . import common
 
 MIN_BASE_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 MIN_WORDS, COMMON, LANGUAGE = 50, 100, 100
+#: Groups of input tasks whose sketches of a language meet before they are one.
+SALTS = 64
 MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.45, 0.3
 #: Characters of the classes; what is in none of them is the last class.
 SPACES, NOT_SPACE = "\x20\x09\x0a\x0b\x0c\x0d", r"[^\x20\x09-\x0D]"
@@ -40,8 +42,10 @@ def words_of(text: Column) -> Column:
 
 def common_candidates(docs: DataFrame) -> DataFrame:
     """lang and the words that may be common in it, at most 4 * COMMON of them, for languages with words."""
-    words = docs.select("lang", F.explode(words_of(F.lower("text"))).alias("w"))
-    top = common.cut(words.groupBy("lang").agg(F.expr(f"approx_top_k(w, {4 * COMMON}, {200 * COMMON})").alias("top"), F.count("w").alias("n")))
+    words = docs.select("lang", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.explode(words_of(F.lower("text"))).alias("w"))
+    each = words.groupBy("lang", "salt").agg(F.expr(f"approx_top_k_accumulate(w, {200 * COMMON})").alias("s"), F.count("w").alias("n"))
+    whole = each.groupBy("lang").agg(F.expr(f"approx_top_k_combine(s, {200 * COMMON})").alias("s"), F.sum("n").alias("n"))
+    top = common.cut(whole.select("lang", F.expr(f"approx_top_k_estimate(s, {4 * COMMON})").alias("top"), "n"))
     maybe = F.filter("top", lambda x: x["count"] * (2 * COMMON) >= F.col("n"))
     return top.where("n > 0").select("lang", F.array_sort(F.transform(maybe, lambda x: x["item"])).alias("maybe"))
 
@@ -175,7 +179,7 @@ lang_n as (select lang, sum(len(ws)) n, sum(n_all - c0 - c1 - c2 - c3 - c4) c5,
 lw as (select w.lang, e.r, lower(e.w) w from e join w using (r)),
 cw as (select lang, w, count(*) x from lw group by lang, w),
 ref as (select cw.lang, w, x / n q from cw join lang_n using (lang) where x * {COMMON} >= n),
-ok as (select * from lang_n where n > 0 and n * {LANGUAGE} >= (select sum(n) from lang_n)),
+ok as (select * from lang_n where n > 0),
 pk as (select r, w, count(*) c from lw group by r, w),
 both_ as (select w.r, ref.q, coalesce(pk.c, 0) / len(w.ws) p from w join ok using (lang) join ref using (lang) left join pk on pk.r = w.r and pk.w = ref.w where len(w.ws) >= {MIN_WORDS}),
 full_ as (select r, p, q from both_ union all select w.r, 1 - coalesce(sum(p), 0), 1 - coalesce(sum(q), 0) from w join ok using (lang) left join both_ on both_.r = w.r where len(w.ws) >= {MIN_WORDS} group by w.r),

@@ -1,19 +1,19 @@
 """Operator 5, secret scans: a trigram index names candidates, regular expressions verify them.
 
 From each rule's expression a Boolean query over lower-case trigrams is derived that holds for every text with a match.
-The index has a posting (trigram, doc_id) for every trigram of the queries and every document that holds it. Postings
-are intersected by document: a mask of the trigrams present, over which the query is evaluated. Rules without a
-mandatory trigram (the query is true) scan all texts.
+The index has a posting (trigram, text), a text known by a 64-bit hash, for every trigram of the queries and every text
+that holds it. Postings are intersected by text: a mask of the trigrams present, over which the query is evaluated. Rules
+without a mandatory trigram (the query is true) scan all texts.
 
-Candidates are a few rows beside the corpus. While their counted size is under common.BROADCAST_BYTES they are broadcast
-to the scan of the texts; beyond that each row evaluates the same query over its own postings where it is read, so that
-texts are never shuffled. Native throughout.
+Candidates, whatever their number, are joined with the texts: by broadcast while their counted size is under
+common.BROADCAST_BYTES; beyond that a sieve of bounded size passes the texts concerned (and a few others), which alone
+are shuffled. Native throughout.
 
 Spans are in code points, end exclusive. Positions of matches come from the lengths of the matches and of the pieces
 between them, summed in blocks, so many matches in one text stay cheap.
 
-Null or empty text: no spans. Very long texts: whole. Repeated rows: each is scanned; equal doc_ids share postings,
-which can only add candidates. Null doc_id: scanned. Empty table: no rows. Extra columns are ignored.
+Null or empty text: no spans. Very long texts: whole. Repeated rows: each is scanned; equal texts share postings, and
+texts that share a hash can only add candidates. Null or equal doc_ids: rows like others. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,21 +173,20 @@ def bit(trigram: Column) -> Column:
 
 def present(text: Column, plan: Plan) -> Column:
     """The numbers of the trigrams that a text holds."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), k) for k, t in enumerate(plan.trigrams)]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), k) for k, t in enumerate(plan.trigrams)])))
 
 
 def build_index(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Postings: trigram (its number) and doc_id, one row for each trigram of a document."""
-    return docs.where(F.col("text") != "").select("doc_id", F.explode(present(F.col("text"), plan)).alias("trigram"))
+    """Postings: trigram (its number) and key (the text's hash), one row for each trigram of a document."""
+    return docs.where(F.col("text") != "").select(F.xxhash64("text").alias("key"), F.explode(present(F.col("text"), plan)).alias("trigram"))
 
 
 def candidates(postings: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and the rules it may match: the postings' intersection for each document."""
+    """key and the rules its text may match: the postings' intersection for each text."""
     words = -(-len(plan.trigrams) // 62)
     masks = [F.bit_or(F.when(F.floor(F.col("trigram") / 62) == w, bit(F.col("trigram"))).otherwise(0)).alias(f"m{w}") for w in range(words)]
-    met = postings.groupBy("doc_id").agg(*masks)
-    return met.select("doc_id", plan.rules([F.col(f"m{w}") for w in range(words)]).alias("rules")).where("rules > 0")
+    met = postings.groupBy("key").agg(*masks)
+    return met.select("key", plan.rules([F.col(f"m{w}") for w in range(words)]).alias("rules")).where("rules > 0")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -231,15 +230,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     met = common.cut(candidates(build_index(docs, plan), plan))
     n = met.count()
-    if n * 16 <= common.BROADCAST_BYTES:
-        side = F.broadcast(met.withColumnRenamed("doc_id", "_id"))
-        rows = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    if n * 48 <= common.BROADCAST_BYTES:
+        rows = keyed.join(F.broadcast(met), "key", "left")
     else:
-        words = -(-len(plan.trigrams) // 62)
-        own = docs.withColumn("_has", present(F.col("text"), plan))
-        mask = lambda w: F.aggregate("_has", F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(F.when(F.floor(t / 62) == w, bit(t)).otherwise(F.lit(0).cast("long"))))
-        masks = [mask(w) for w in range(words)]
-        rows = own.withColumn("rules", plan.rules(masks)).drop("_has")
+        maybe, other = common.sieved(keyed, F.col("key"), met.select(F.col("key").alias("h")), n)
+        rows = maybe.join(met.hint("shuffle_merge"), "key", "left").unionByName(other.withColumn("rules", F.lit(None).cast("int")))
     found = []
     for k, (rule, query) in enumerate(zip(rules, plan.queries, strict=True)):
         s = spans(F.col("text"), rule, k)

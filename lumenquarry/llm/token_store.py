@@ -1,7 +1,8 @@
 """Operator 8, token-ID / binary output: one zstandard frame a document under a shared dictionary.
 
 A store is a folder of shard files and the dictionary they share. A shard holds documents of one range of doc_id in
-ascending order (nulls first; equal doc_ids by their ids' bytes):
+ascending order (nulls first). Rows of one doc_id that are more than a shard holds are dealt to several by a checksum of
+their ids; in a shard equal doc_ids come in the order of their frames:
 
     magic "LQT1", 32 bytes SHA-256 of the dictionary, 1 byte width of an id (2 or 4),
     the documents' frames, one after the other,
@@ -9,10 +10,11 @@ ascending order (nulls first; equal doc_ids by their ids' bytes):
     int64 number of documents, int64 position of the index, magic "1TQL"
 
 so one document is read with two small reads and one frame. The dictionary is trained on the id arrays of at most
-`sample` documents, those with the smallest hash of doc_id; it changes sizes only, never the ids that come back.
+`sample` documents, those with the smallest hash of doc_id, of which the first SAMPLE_CHARS characters each: 32 M characters at
+most. It changes sizes only, never the ids that come back.
 
 Encoding and compression happen where a document is read, so the one shuffle moves compressed frames; the range bounds
-come from the doc_id column alone. A shard is written under a draft name and renamed, so a task can run again.
+come from the doc_id column alone, the number of shards from the size of the texts; a task writes one shard. A shard is written under a draft name and renamed, so a task can run again.
 
 Null or empty text: only the end id. Very long texts: one frame each. Repeated rows: each is stored. Null doc_id:
 stored first. Empty table: a store without shards. Extra columns are ignored; only doc_id and text are read.
@@ -35,7 +37,8 @@ from . import common
 from .tokens import encoder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-SAMPLE, DICT_BYTES, LEVEL = 1000, 64 << 10, 3
+SAMPLE, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 32768, 64 << 10, 3
+SHARD_BYTES, LEAST = 64 << 20, -(1 << 63)
 MAGIC, TAIL, HEAD = b"LQT1", b"1TQL", 4 + 32 + 1
 RECORD = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 
@@ -60,7 +63,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE, si
         for b in batches:
             yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(tokenizer, end_id, t, width) for t in b.column(0).to_pylist()], pa.binary())})
 
-    rows = [bytes(r[0]) for r in docs.where(F.col("doc_id").isin(wanted)).orderBy("doc_id", "text").limit(sample).select("text").mapInArrow(run, "ids binary").collect()]
+    rows = [bytes(r[0]) for r in docs.where(F.col("doc_id").isin(wanted)).orderBy("doc_id", F.xxhash64("text")).limit(sample).select(F.substring("text", 1, SAMPLE_CHARS)).mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
     except zstandard.ZstdError:  # too few or too short
@@ -68,9 +71,19 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE, si
 
 
 def bounds_of(docs: DataFrame, shards: int) -> list[int]:
+    """The largest doc_id of each shard but the last; a doc_id of many rows stands in it several times. Null counts as least."""
     if shards < 2:
         return []
-    return sorted({int(x) for x in docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)})
+    ids = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"))
+    return sorted(int(x) for x in ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards))
+
+
+def shards_for(docs: DataFrame) -> int:
+    """At least one for each shuffle partition, and one for each SHARD_BYTES of text, by the size that the plan tells or, where it tells none, counted."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shards: int | None = None, sample: int = SAMPLE, level: int = LEVEL) -> list[dict]:
@@ -78,7 +91,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     spark = docs.sparkSession
     common.arrow_batches(spark)
     docs = docs.select("doc_id", "text")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs)
     learnt = train(docs, tokenizer, end_id, sample)
     common.write_file(f"{path}/dictionary", [learnt])
     key = hashlib.sha256(learnt).digest()
@@ -91,7 +104,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         for b in batches:
             raws = [np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes() for ids in encoder(tokenizer).each(b.column(1).to_pylist())]
             ids = b.column(0)
-            shard = np.searchsorted(np.array(bounds, dtype=np.int64), np.array(ids.fill_null(-(1 << 63))), side="left")
+            known = np.array(ids.fill_null(LEAST))
+            shard, last = (np.searchsorted(np.array(bounds, dtype=np.int64), known, side=s) for s in ("left", "right"))
+            for k in np.flatnonzero(last > shard).tolist():  # a doc_id of several shards: rows are dealt by their ids
+                shard[k] += zlib.crc32(raws[k]) % (last[k] - shard[k] + 1)
             yield pa.RecordBatch.from_arrays([ids, pa.array(shard, pa.int32()), pa.array([len(r) // width for r in raws], pa.int64()), pa.array([packer.compress(r) for r in raws], pa.binary())], ["doc_id", "shard", "n", "frame"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +132,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "docs": [len(index)], "ids": [sum(x[3] for x in index)], "bytes": [size]})
 
     frames = docs.mapInArrow(squeeze, "doc_id long, shard int, n long, frame binary")
-    done = frames.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "frame").mapInArrow(put, "shard long, path string, docs long, ids long, bytes long").collect()
+    done = frames.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "frame").mapInArrow(put, "shard long, path string, docs long, ids long, bytes long").collect()
     return sorted((r.asDict() for r in done), key=lambda r: r["shard"])
 
 

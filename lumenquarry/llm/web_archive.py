@@ -1,9 +1,12 @@
 """Operator 6, WARC: a legacy ARC converter, and the writer and reader of both formats.
 
 `arc_to_warc` reads an ARC archive of version 1 or 2. Its first record names the version and the fields of the header
-lines of the others; a header's last field declares the length of what follows. Each record becomes a WARC record with
-what ARC doesn't have: a record id (a UUID of name and payload), a date from the 14 digits, a type and the payload's
-SHA-1 digest in base 32.
+lines of the others; a header's last field declares the length of what follows. The version block becomes a warcinfo
+record, each other record a WARC record with what ARC doesn't have: a record id (a UUID of name and payload), a date from
+the 14 digits, a type, and SHA-1 digests of block and payload in base 32. Content that begins with an HTTP status line
+is a response whose payload is what follows the HTTP headers; other content of an http address is a response without
+headers, and of any other address (dns, ftp) a resource. An archive of gzip members, one a record, is read like a plain
+one.
 
 `archive_pages` puts pages through it: each task writes its rows as an ARC archive, converts it and writes a WARC file
 of gzip members under a draft name that is renamed, so a task can run again. Of records with equal payloads of at least
@@ -25,7 +28,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -58,12 +61,17 @@ def arc_head(version: int, name: str) -> bytes:
     return arc_record(version, line, block)
 
 
-def read_arc(f) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields and the content of each record after the version block."""
+def read_arc(f, head: Callable[[str, bytes], None] = lambda line, block: None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The header fields and the content of each record after the version block, which `head` is told of."""
+    start = f.read(2)
+    f.seek(-len(start), io.SEEK_CUR)
+    if start == b"\x1f\x8b":
+        f = gzip.GzipFile(fileobj=f)
     first = f.readline().rstrip(b"\r\n").decode("utf-8", "replace")
     if not first.startswith("filedesc:"):
         raise ValueError("an ARC archive starts with a filedesc: line")
-    block = f.read(int(first.rsplit(" ", 1)[1])).decode("utf-8", "replace").split("\n")
+    head(first, whole := f.read(int(first.rsplit(" ", 1)[1])))
+    block = whole.decode("utf-8", "replace").split("\n")
     version = int(block[0].split()[0])
     if version not in ARC_FIELDS:
         raise ValueError(f"ARC version {version} is not known")
@@ -99,26 +107,67 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
     return packer.compress(lines.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def arc_to_warc(archive, refers=lambda header, digest: None) -> Iterator[bytes]:
-    """The WARC records of an ARC archive. refers: the Filename of the record that this one repeats, or None."""
-    for header, payload in read_arc(archive):
-        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def base32(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def http_payload(content: bytes) -> bytes | None:
+    """What follows the HTTP headers; None where content doesn't begin with a status line."""
+    if not content.startswith(b"HTTP/"):
+        return None
+    ends = [(at, n) for sep, n in ((b"\r\n\r\n", 4), (b"\n\n", 2)) if (at := content.find(sep)) >= 0]
+    at, n = min(ends, default=(len(content), 0))
+    return content[at + n :]
+
+
+def arc_to_warc(archive, refers=lambda header, digest: None, info: bool = True) -> Iterator[bytes]:
+    """The WARC records of an ARC archive. refers: (Filename, address, date) of the record that this one repeats, or None.
+
+    The first is the warcinfo record, unless info is False.
+    """
+    told: list[bytes] = []
+
+    def head(line: str, block: bytes) -> None:
+        name = line.split(" ")[0].removeprefix("filedesc://")
+        date = line.split(" ")[2]
+        fields = f"software: lumenquarry\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\narc-version-block: {block.decode('utf-8', 'replace').split(chr(10))[0]}\r\n".encode()
+        headers = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(name, base32(block)), "WARC-Date": warc_date(date), "WARC-Filename": name, "WARC-Block-Digest": f"sha1:{base32(fields)}", "Content-Type": "application/warc-fields"}
+        told.append(warc_record(headers, fields))
+
+    for header, content in read_arc(archive, head):
+        if told and info:
+            yield told.pop()
+        payload = http_payload(content)
+        http = payload is not None
+        payload = content if payload is None else payload
+        digest = base32(payload)
         name = header.get("Filename", "-")
         first = refers(header, digest)
+        web = http or header["URL"].lower().startswith(("http:", "https:", "/", "-")) or ":" not in header["URL"].split("/")[0]
         headers = {
-            "WARC-Type": "response" if first is None else "revisit",
+            "WARC-Type": "revisit" if first else "response" if web else "resource",
             "WARC-Record-ID": record_id(name, digest),
             "WARC-Date": warc_date(header["Archive-date"]),
             "WARC-Target-URI": header["URL"],
             "WARC-IP-Address": header["IP-address"],
             "WARC-Payload-Digest": f"sha1:{digest}",
-            "Content-Type": header["Content-type"],
+            "Content-Type": "application/http; msgtype=response" if http else header["Content-type"],
             "X-Archive-Name": name,
             "X-Payload-Length": str(len(payload)),
         }
-        if first is not None:
-            headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(first, digest), "X-Refers-To-Name": first}
-        yield warc_record(headers, payload if first is None else b"")
+        block = content
+        if first:
+            headers |= {
+                "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                "WARC-Refers-To": record_id(first[0], digest),
+                "WARC-Refers-To-Target-URI": first[1],
+                "WARC-Refers-To-Date": warc_date(first[2]),
+                "X-Refers-To-Name": first[0],
+            }
+            block = content[: len(content) - len(payload)]
+        yield warc_record(headers | {"WARC-Block-Digest": f"sha1:{digest if block is payload else base32(block)}"}, block)
+    if told and info:
+        yield told.pop()
 
 
 def read_warc(f) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -135,6 +184,10 @@ def read_warc(f) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, f.read(int(headers["Content-Length"]))
 
 
+def address(url: str | None) -> str:
+    return quote(url or "-", safe=":/?#[]@!$&'()*+,;=%")
+
+
 def payload_of(html) -> F.Column:
     return F.coalesce(html, F.lit(""))
 
@@ -144,10 +197,10 @@ def archive_pages(pages: DataFrame, path: str, least: int = LEAST, version: int
     spark = pages.sparkSession
     common.arrow_batches(spark)
     pages = pages.select("page_id", "url", payload_of(F.col("html")).alias("html"))
-    digests = pages.where(F.octet_length("html") >= least).select("page_id", F.sha1("html").alias("_digest"))
-    repeated = common.cut(digests.groupBy("_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("_digest", "first"))
+    digests = pages.where(F.octet_length("html") >= least).select("page_id", "url", F.sha1("html").alias("_digest"))
+    repeated = common.cut(digests.groupBy("_digest").agg(F.max("page_id").alias("first"), F.max(F.struct("page_id", "url"))["url"].alias("first_url"), F.count("*").alias("n")).where("n > 1").select("_digest", "first", "first_url"))
     keyed = pages.withColumn("_digest", F.when(F.octet_length("html") >= least, F.sha1("html")))
-    rows = common.small_or_shuffled(keyed, repeated, "_digest", "left", repeated.count(), 64).drop("_digest")
+    rows = common.small_or_shuffled(keyed, repeated, "_digest", "left", repeated.count(), 256).drop("_digest")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -156,23 +209,23 @@ def archive_pages(pages: DataFrame, path: str, least: int = LEAST, version: int
         def members() -> Iterator[bytes]:
             nonlocal n
             for b in batches:
-                first_of: list[str | None] = []
+                first_of: list[tuple[str, str, str] | None] = []
                 archive = io.BytesIO()
                 archive.write(arc_head(version, f"part-{part}.arc"))
-                for page_id, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for page_id, url, html, first, first_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     name = "null" if page_id is None else str(page_id)
-                    archive.write(arc_record(version, {"URL": quote(url or "-", safe=":/?#[]@!$&'()*+,;=%"), "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/html", "Result-code": "200", "Filename": name}, html.encode()))
-                    first_of.append(None if first is None or page_id is None or page_id == first else str(first))
+                    archive.write(arc_record(version, {"URL": address(url), "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/html", "Result-code": "200", "Filename": name}, html.encode()))
+                    first_of.append(None if first is None or page_id is None or page_id == first else (str(first), address(first_url), DATE))
                 archive.seek(0)
                 told = iter(first_of)
-                for member in arc_to_warc(archive, lambda header, digest, told=told: next(told)):
+                for member in arc_to_warc(archive, lambda header, digest, told=told: next(told), info=False):
                     n += 1
                     yield member
 
         size = common.write_file(name := f"{path}/part-{part:06d}.warc.gz", members())
         yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [size]})
 
-    return sorted(r[0] for r in rows.select("page_id", "url", "html", "first").mapInArrow(put, "path string, records long, bytes long").where("records > 0").collect())
+    return sorted(r[0] for r in rows.select("page_id", "url", "html", "first", "first_url").mapInArrow(put, "path string, records long, bytes long").where("records > 0").collect())
 
 
 def read_pages(spark: SparkSession, files: list[str]) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import io
 import re
 import string
@@ -219,6 +220,41 @@ def test_segments_keep_order_and_captions():
     assert media.segments(None) == []
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<figure><img src=x><figcaption>cap</figure><p>rest</p>", [("img", None, "x", "cap"), ("text", "rest", None, None)]),
+        ("<figure><img src=x><figcaption>cap<p>rest</p>", [("img", None, "x", "cap"), ("text", "rest", None, None)]),
+        ("<figure><figcaption>cap</figcaption><img src=x></figure>", [("img", None, "x", "cap")]),
+        ("a<figcaption>cap</figcaption>b", [("text", "a cap b", None, None)]),
+        ("<video><source src=u type=t><source src=v></video>t", [("video", None, "u", None), ("text", "t", None, None)]),
+        ("<picture><source srcset='p 1x, q 2x'><img alt=k></picture>", [("img", None, "p", "k")]),
+        ("<img data-src=d><img srcset='s, t 2x'><img>", [("img", None, "d", None), ("img", None, "s", None)]),
+    ],
+)
+def test_segments_of_damaged_or_indirect_html(html, want):
+    assert [(s["kind"], s["text"], s["ref"], s["caption"]) for s in media.segments(html)] == want
+
+
+def test_digests_resolve_at_their_positions(spark):
+    page = f"<p>one</p><img src='sha256:{'a' * 64}' alt=k><p>two</p><img src='sha256:{'b' * 64}'><img src=http://x/>"
+    rows = spark.createDataFrame([(1, page), (2, None)], "k long, html string")
+    table = spark.createDataFrame([("a" * 64, 7)], "digest string, payload_bytes int")
+    got = media.resolve(media.interleave(rows, "k"), "k", table).orderBy("position").collect()
+    assert [(r.position, r.kind, r.text, r.caption, r.payload_bytes) for r in got] == [(0, "text", "one", None, None), (1, "img", None, "k", 7), (2, "text", "two", None, None), (3, "img", None, None, None), (4, "img", None, None, None)]
+
+
+def test_media_of_the_whole_table(spark, sf_dir):
+    got = {r.doc_id: r for r in media.op2_media_sequences(spark, sf_dir).collect()}
+    docs = common.table(spark, sf_dir, "documents").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        whole = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+
+
 # --- 3 ---
 def test_packing_is_exact_and_gapless(spark, docs):
     enc = tokens.encoder(packing.TOKENIZER)
@@ -263,6 +299,15 @@ def test_deviation_is_under_one_block():
             assert abs(sum(s < t for s in x) - t * c / 64) < 1
 
 
+def test_a_source_of_weight_0_comes_last_and_names_may_clash(spark):
+    docs = spark.range(600).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("x").alias("mix"), F.lit(1).alias("_block"))
+    rows = mixing.mix(docs, {"s0": 3, "s1": 1, "s2": 0}, block_rows=8, salt_rows=50)
+    assert rows.columns == [*docs.columns, "mix_"]
+    got = rows.select("source", "mix_.*").toPandas()
+    assert got[got.source == "s2"].slot.min() > got[got.source != "s2"].slot.max()
+    assert mixing.in_order(rows).columns == docs.columns and mixing.in_order(rows).count() == 600
+
+
 # --- 5 ---
 def test_queries_hold_for_what_a_rule_matches():
     assert secrets.query_of("[0-9a-f]{32,}") is True
@@ -271,7 +316,7 @@ def test_queries_hold_for_what_a_rule_matches():
     assert secrets.query_of("x*") is True
 
 
-def test_postings_in_the_row_give_the_same(spark, docs, monkeypatch):
+def test_candidates_beyond_the_broadcast_limit_give_the_same(spark, docs, monkeypatch):
     one = secrets.scan(docs).collect()
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(str, secrets.scan(docs).collect())) == sorted(map(str, one))
@@ -290,8 +335,23 @@ def test_arc_versions(version):
     arc = io.BytesIO(web_archive.arc_head(version, "a.arc") + web_archive.arc_record(version, {"URL": "http://a/b c", "IP-address": "1.2.3.4", "Archive-date": "19990102030405", "Content-type": "text/html", "Filename": "n"}, b"x\ny\n\n"))
     (header, payload), = web_archive.read_arc(io.BytesIO(arc.getvalue()))
     assert payload == b"x\ny\n\n" and header["URL"] == "http://a/b c"
-    (headers, block), = web_archive.read_warc(gzip.GzipFile(fileobj=io.BytesIO(b"".join(web_archive.arc_to_warc(arc)))))
+    (info, _), (headers, block) = web_archive.read_warc(gzip.GzipFile(fileobj=io.BytesIO(b"".join(web_archive.arc_to_warc(arc)))))
     assert headers["WARC-Date"] == "1999-01-02T03:04:05Z" and headers["WARC-Type"] == "response" and block == payload
+    assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == "a.arc"
+
+
+def test_arc_records_with_http_headers_and_other_addresses():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>"
+    records = [("http://a/", http), ("dns:a", b"1.2.3.4"), ("http://b/", b"bare"), ("http://c/", http)]
+    parts = [web_archive.arc_head(1, "a.arc"), *(web_archive.arc_record(1, {"URL": u, "IP-address": "1.2.3.4", "Archive-date": "19990102", "Content-type": "text/html"}, c) for u, c in records)]
+    refers = lambda header, digest: ("n", "http://a/", "19990102") if header["URL"] == "http://c/" else None
+    for archive in (b"".join(parts), b"".join(map(gzip.compress, parts))):
+        got = list(web_archive.read_warc(gzip.GzipFile(fileobj=io.BytesIO(b"".join(web_archive.arc_to_warc(io.BytesIO(archive), refers))))))[1:]
+        assert [h["WARC-Type"] for h, _ in got] == ["response", "resource", "response", "revisit"]
+        assert [b for _, b in got] == [http, b"1.2.3.4", b"bare", http[:-3]]
+        assert got[0][0]["Content-Type"] == "application/http; msgtype=response"
+        assert got[0][0]["WARC-Payload-Digest"] == f"sha1:{web_archive.base32(b'<p>')}" == got[3][0]["WARC-Payload-Digest"]
+        assert got[0][0]["WARC-Block-Digest"] == f"sha1:{web_archive.base32(http)}" and got[3][0]["WARC-Refers-To-Target-URI"] == "http://a/"
 
 
 def test_largest_page_id_is_the_response(spark, tmp_path):
@@ -344,6 +404,21 @@ def test_one_document_is_read_by_its_place(spark, docs, tmp_path):
         token_store.Shard(shards[0]["path"], b"other")
 
 
+def test_store_against_the_library_with_many_rows_of_one_doc_id(spark, sf_dir, tmp_path):
+    docs = common.table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, 7).when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    path = str(tmp_path / "s")
+    shards = token_store.write_store(docs, path, shards=16)
+    assert max(s["docs"] for s in shards) < docs.count() / 4
+    got = token_store.read_store(spark, path, shards).toPandas().sort_values("start")
+    assert got.doc_id.fillna(-1).is_monotonic_increasing and (got.start.to_numpy() == np.concatenate([[0], np.cumsum(got.n_tokens)[:-1]])).all()
+    tok = tokens.encoder(token_store.TOKENIZER).tokenizer
+    want = []
+    for r in docs.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, token_store.END_ID], "<u4")
+        want.append((-1 if r.doc_id is None else r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.n_tokens, got.ids_crc32, strict=True)) == sorted(want)
+
+
 # --- 9 ---
 def test_distance_against_the_table():
     rng = np.random.default_rng(3)
@@ -443,3 +518,9 @@ def test_leaves_follow_the_target(spark, target):
     assert all(g["size"].sum() <= target or len(g) == 1 for _, g in got.groupby("shard"))
     assert got.shard.nunique() <= max(1, 4 * got["size"].sum() // target)
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_two_rows_part_and_clashing_names_stay(spark):
+    rows = spark.createDataFrame([(1, 9, "a", 1, 2, "x", "y"), (2, 10, "b", 1, 2, "x", "y")], "doc_id long, size long, source string, c0 int, tie int, shard string, at string")
+    got = kd_shards.shard_rows(rows, ("source", "size"), levels=1)
+    assert got.columns == [*rows.columns, "shard_", "slot"] and sorted(r.shard_ for r in got.collect()) == [0, 1]
