@@ -126,6 +126,11 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
                 return
             table = table.combine_chunks()
             u, label = table["u"].to_numpy(), table["label"].to_numpy()
+            if len(u) == 2:
+                out = link(table, np.array([0, int(label[0] != label[1])]))
+                if out[0] == out[1]:
+                    yield u.max(keepdims=True), u.min(keepdims=True)
+                return
             out = link(table, np.unique(label, return_inverse=True)[1])
             order = np.lexsort((u, out))
             s_out, s_u = out[order], u[order]

@@ -313,6 +313,8 @@ def link(similarity: float):
     def run(table: pa.Table, labels: np.ndarray) -> np.ndarray:
         label = labels.astype(np.int64)
         line = table["text"].to_pylist()
+        if len(line) == 2:  # they are a cluster by the key that they share
+            return label if label[0] != label[1] and not similar(*line, similarity) else np.zeros(2, np.int64)
         size = np.array([len(x) for x in line])
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u4").reshape(len(line), BANDS)
         for i in range(len(line) - 1):
@@ -335,7 +337,8 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
-    texts = with_lines(docs.select("doc_id", "text"), "doc_id", "text", wanted, "lines").where("lines is not null")
+    # a text that only shares the hash with the one that was asked for gives lines of other keys
+    texts = with_lines(docs.select("doc_id", "text"), "doc_id", "text", wanted, "lines", exact=False).where("lines is not null")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The normalised lines that were asked for and their keys; a line of another text with the same hash has other keys."""
@@ -362,20 +365,29 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     return lost.groupBy(F.col("doc_id").alias("drop_doc"), F.col("hash").alias("drop_hash")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 
-def with_lines(docs: DataFrame, doc_id: str, text: str, side: DataFrame, lines: str) -> DataFrame:
+def with_lines(docs: DataFrame, doc_id: str, text: str, side: DataFrame, lines: str, exact: bool = True) -> DataFrame:
     """docs with the line numbers that side (a doc_id, a hash of the text, lines) has for them, null where it has none.
 
-    While side's counted size is small it is broadcast. Beyond that a sieve of bounded size tells apart the documents that
-    side can't have; the others meet it by a shuffle.
+    Documents meet by one 64-bit hash; with exact doc_id and the text's hash are compared as well. While side's counted
+    size is small it is broadcast. Beyond that a sieve of bounded size tells apart the documents that side can't have; the
+    others meet it by a shuffle.
     """
     names = side.columns
-    on = F.col(doc_id).eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1]))
-    size = side.agg(F.coalesce(F.sum(128 + 4 * F.size(lines)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-    if size.bytes <= common.BROADCAST_BYTES:
-        return docs.join(F.broadcast(side), on, "left").drop(*names[:2])
-    passed = common.sieved(docs, F.xxhash64(F.col(doc_id), F.xxhash64(text)), side.select(F.xxhash64(names[0], names[1]).alias("h")), size.n)
-    met = passed[0].join(side.hint("shuffle_merge"), on, "left").drop(*names[:2])
-    return met.unionByName(passed[1].withColumn(lines, F.lit(None).cast("array<int>")))
+    own, key = common.free(docs, "_own", "_key")
+    side = side.withColumn(key, F.xxhash64(names[0], names[1]))
+    on = F.col(own) == F.col(key)
+    if exact:
+        on = on & F.col(doc_id).eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1]))
+    else:
+        side = side.select(key, lines)
+    extra = [own, *(c for c in side.columns if c != lines)]
+    size = side.agg(F.coalesce(F.sum((96 if exact else 64) + 4 * F.size(lines)), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    keyed = docs.withColumn(own, F.xxhash64(F.col(doc_id), F.xxhash64(text)))
+    if size.bytes <= 2 * common.BROADCAST_BYTES:
+        return keyed.join(F.broadcast(side), on, "left").drop(*extra)
+    maybe, other = common.sieved(keyed, F.col(own), side.select(F.col(key).alias("h")), size.n)
+    met = maybe.join(side.hint("shuffle_merge"), on, "left").drop(*extra)
+    return met.unionByName(other.drop(own).withColumn(lines, F.lit(None).cast("array<int>")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
