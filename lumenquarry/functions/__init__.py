@@ -46,3 +46,14 @@ def interval_half_width(value: Column, sigma: Column, absolute: float, relative:
     """Absolute + relative * |value| (twice for areas) + z * sigma, doubled where support is low."""
     base = absolute + F.when(is_area, 2 * relative).otherwise(relative) * F.abs(value) + z * sigma
     return F.when(support < least_support, base * 2).otherwise(base)
+
+
+def det2(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The determinant of the rows (a, b), (c, d)."""
+    return a * d - b * c
+
+
+def solve2(a: Column, b: Column, c: Column, d: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """x and y of a x + b y = u, c x + d y = v; null where the determinant is 0 (under 1e-12)."""
+    det = det2(a, b, c, d)
+    return F.when(F.abs(det) > 1e-12, det2(u, b, v, d) / det), F.when(F.abs(det) > 1e-12, det2(a, u, c, v) / det)

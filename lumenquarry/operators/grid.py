@@ -1,8 +1,10 @@
-"""Grid operators (A1, A4, C24, G1, G4, G6, J13, J18): cells are rows, neighbourhoods are equi-joins."""
+"""Grid operators (A1 to A4, A18, A19, C24, G1 to G7, G9, J13, J17, J18): cells are rows, neighbourhoods are equi-joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cell
@@ -88,3 +90,101 @@ def components(grid: DataFrame, eight: bool = True) -> DataFrame:
         state = new.drop("was")
         if new.where("c <> was").isEmpty():
             return state.select("i", "j", "c.ci", "c.cj")
+
+
+def cloud_statistics(points: DataFrame, by: list[str], axes: list[str], size: float) -> DataFrame:
+    """A2, A3: per group the points, the occupied cells and the bounds of each axis; cells are distinct before they meet."""
+    ids = [cell(F.col(a), size).alias(f"i_{a}") for a in axes]
+    ends = [f(a).alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    each = points.groupBy(*by, *ids).agg(F.count("*").alias("_n"), *ends)
+    whole = [f(f"{n}_{a}").alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    return each.groupBy(*by).agg(F.sum("_n").alias("raw"), F.count("*").alias("cells"), *whole)
+
+
+def voted(cells_of: DataFrame, voter: str, least: int = 2) -> DataFrame:
+    """Cells (i, j) that at least `least` voters cover."""
+    return cells_of.select("i", "j", voter).distinct().groupBy("i", "j").agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
+
+
+def regions(labelled: DataFrame, size: float) -> DataFrame:
+    """Area and centre of each label's cells."""
+    return labelled.groupBy("label").agg((F.count("*") * size * size).alias("area"), (F.avg(F.col("i") + 0.5) * size).alias("x"), (F.avg(F.col("j") + 0.5) * size).alias("y"))
+
+
+def segment_cells(segments: DataFrame) -> DataFrame:
+    """The 8-connected cells of segments (i, j) to (i2, j2): a cell for each step of the longer axis, rounded half to even."""
+    steps = F.greatest(F.abs(F.col("i2") - F.col("i")), F.abs(F.col("j2") - F.col("j")))
+    s = segments.withColumn("_n", steps).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))))
+    at = lambda a, b: F.rint(F.col(a) + F.when(F.col("_n") > 0, F.col("_k") * (F.col(b) - F.col(a)) / F.col("_n")).otherwise(0.0)).cast("long")
+    return s.select(at("i", "i2").alias("i"), at("j", "j2").alias("j")).distinct()
+
+
+def polygon_cells(corners: DataFrame, by: str, order: str, size: float) -> DataFrame:
+    """The cells whose centres lie inside each polygon (even-odd), corners x, y in their order. A row of cells gets the
+    places where edges cross it, in order; every second stretch between them is inside."""
+    w = Window.partitionBy(by)
+    e = corners.withColumns({"x2": F.coalesce(F.lead("x").over(w.orderBy(order)), F.first("x").over(w.orderBy(order))), "y2": F.coalesce(F.lead("y").over(w.orderBy(order)), F.first("y").over(w.orderBy(order)))}).where("y <> y2")
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    # centres (j + 0.5) * size with low <= centre < high
+    first, last = F.ceil(low / size - 0.5).cast("long"), F.ceil(high / size - 0.5).cast("long") - 1
+    rows = e.where(first <= last).withColumn("j", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("at", F.col("x") + ((F.col("j") + 0.5) * size - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x")))
+    each = rows.groupBy(by, "j").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1), lambda k: F.struct(F.ceil(F.get("at", 2 * k) / size - 0.5).cast("long").alias("a"), (F.ceil(F.get("at", 2 * k + 1) / size - 0.5).cast("long") - 1).alias("b")))
+    stretches = each.select(by, "j", F.explode(F.filter(pairs, lambda p: p["a"] <= p["b"])).alias("p"))
+    return stretches.select(by, F.explode(F.sequence(F.col("p.a"), F.col("p.b"))).alias("i"), "j")
+
+
+def fill_holes(grid: DataFrame) -> DataFrame:
+    """Grid with the cells that it encloses: parts of its complement, joined at the sides, that don't reach the frame of
+    one cell around its box."""
+    box = grid.agg(F.min("i").alias("a"), F.max("i").alias("b"), F.min("j").alias("c"), F.max("j").alias("d")).where("a is not null")
+    every = box.select("*", F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("i")).select("*", F.explode(F.sequence(F.col("c") - 1, F.col("d") + 1)).alias("j"))
+    outside = every.join(grid.select("i", "j").distinct(), ["i", "j"], "left_anti")
+    parts = components(outside.select("i", "j"), eight=False)
+    corner = box.select((F.col("a") - 1).alias("ci"), (F.col("c") - 1).alias("cj"))  # the frame's least cell names its part
+    holes = parts.join(F.broadcast(corner), ["ci", "cj"], "left_anti").select("i", "j")
+    return grid.select("i", "j").unionByName(holes).distinct()
+
+
+def hull(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Corners and area of each group's convex hull. Of the points of one x only the least and the largest y can be
+    corners, so what meets in a task is bounded by the distinct x."""
+    ends = points.groupBy(by, F.col(x).cast("double").alias("x")).agg(F.min(F.col(y).cast("double")).alias("lo"), F.max(F.col(y).cast("double")).alias("hi"))
+
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        p = sorted({(r.x, v) for r in rows.itertuples() for v in (r.lo, r.hi)})
+        chains = []
+        for part in (p, p[::-1]):
+            chain: list[tuple[float, float]] = []
+            for q in part:
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]):
+                    chain.pop()
+                chain.append(q)
+            chains += chain[:-1]
+        c = np.array(chains or p[:1])
+        area = abs(float(c[:, 0] @ np.roll(c[:, 1], -1) - c[:, 1] @ np.roll(c[:, 0], -1))) / 2
+        return pd.DataFrame({by: [rows[by].iloc[0]], "corners": [len(c)], "area": [area]})
+
+    return ends.groupBy(by).applyInPandas(rule, f"{by} {dict(points.dtypes)[by]}, corners int, area double")
+
+
+def within(grid: DataFrame, reach: int, *columns: str) -> DataFrame:
+    """All cells up to `reach` away (d2, the squared distance in cells) from each cell, unfolded in the row."""
+    steps = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(a * a + b * b).alias("d2")) for a, b in offsets("disc", reach)])
+    s = grid.select("i", "j", *columns, F.explode(steps).alias("s"))
+    return s.select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), F.col("s.d2").alias("d2"), *columns)
+
+
+def fill_labels(free: DataFrame, labelled: DataFrame, reach: int) -> DataFrame:
+    """Each free cell without a label gets that of the nearest labelled cell within reach (the least label on ties);
+    pre-aggregated minima, no cell meets all others."""
+    near = within(labelled, reach, "label").groupBy("i", "j").agg(F.min(F.struct("d2", "label")).alias("x"))
+    wanted = free.select("i", "j").join(labelled.select("i", "j"), ["i", "j"], "left_anti")
+    return wanted.join(near, ["i", "j"]).select("i", "j", F.col("x.label").alias("label"))
+
+
+def clearance(free: DataFrame, obstacles: DataFrame, reach: int) -> DataFrame:
+    """The exact distance, in cells, of each free cell to the nearest obstacle, `reach` where none is that near."""
+    near = within(obstacles.select("i", "j").distinct(), reach).groupBy("i", "j").agg(F.min("d2").alias("d2"))
+    return free.select("i", "j").join(near, ["i", "j"], "left").select("i", "j", F.least(F.coalesce(F.sqrt("d2"), F.lit(float(reach))), F.lit(float(reach))).alias("distance"))

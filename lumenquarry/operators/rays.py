@@ -1,7 +1,8 @@
-"""Lines, rays and directions (A6, A8, A9, A12, J11, J12, G14, G15): column arithmetic and pre-aggregated sums."""
+"""Lines, rays and directions (A6, A8 to A12, J7, J11, J12, M3, G14, G15): column arithmetic and pre-aggregated sums."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,3 +67,40 @@ def visible_range(points: DataFrame, by: list[str], x: str, y: str, bins: int, n
     r = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
     seen = points.select(*by, bearing_bin(F.col(y), F.col(x), bins).alias("bin"), r.alias("r")).where((F.col("r") > near) & (F.col("r") <= far))
     return seen.groupBy(*by, "bin").agg(F.percentile("r", F.lit(0.1)).alias("p"), F.count("*").alias("n")).where(F.col("n") >= least).select(*by, "bin", F.greatest(F.col("p") - margin, F.lit(0.0)).alias("reach"), "n")
+
+
+def resultant(df: DataFrame, by: list[str], vector: tuple[Column, Column, Column]) -> DataFrame:
+    """The mean of a group's vectors, its length, and its direction, null where it has none (under 1e-9)."""
+    g = df.groupBy(*by).agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(vector)], F.count("*").alias("n"))
+    size = F.sqrt(F.col("m0") ** 2 + F.col("m1") ** 2 + F.col("m2") ** 2)
+    return g.withColumn("length", size).withColumns({a: F.when(F.col("length") > 1e-9, F.col(f"m{k}") / F.col("length")) for k, a in enumerate(("ux", "uy", "uz"))}).drop("m0", "m1", "m2")
+
+
+def axis_mappings() -> list[list[list[int]]]:
+    """The 24 rotations that map axes to axes: signed permutations of determinant 1."""
+    out = []
+    for order in itertools.permutations(range(3)):
+        odd = sum(order[a] > order[b] for a in range(3) for b in range(a + 1, 3)) % 2
+        for signs in itertools.product((1, -1), repeat=3):
+            if math.prod(signs) * (-1) ** odd == 1:
+                out.append([[signs[r] if c == order[r] else 0 for c in range(3)] for r in range(3)])
+    return out
+
+
+def gravity_mapping(samples: DataFrame, by: list[str], reading: list[str], rotation: list[list[Column]], least: float = 0.85, margin: float = 0.10, least_rows: int = 50) -> DataFrame:
+    """M3, A10: for each group the axis mapping (its number in axis_mappings) under which the readings, turned by their
+    rows' rotations, agree best: the resultant's length, the margin to the next one and whether both and the number of
+    rows suffice. Readings are scaled to length 1."""
+    size = F.sqrt(sum((F.col(c) ** 2 for c in reading[1:]), F.col(reading[0]) ** 2))
+    rows = samples.where(size > 1e-9)
+    unit = [F.col(c) / size for c in reading]
+    tried = []
+    for k, m in enumerate(axis_mappings()):
+        v = [sum((unit[c] * m[r][c] for c in range(3) if m[r][c]), F.lit(0.0)) for r in range(3)]
+        world = [sum((rotation[r][c] * v[c] for c in range(3)), F.lit(0.0)) for r in range(3)]
+        tried.append(F.struct(F.lit(k).alias("k"), *[w.alias(a) for w, a in zip(world, "xyz", strict=True)]))
+    each = rows.select(*by, F.explode(F.array(*tried)).alias("t")).groupBy(*by, F.col("t.k").alias("mapping")).agg(*[F.avg(f"t.{a}").alias(f"u{a}") for a in "xyz"], F.count("*").alias("n"))
+    each = each.withColumn("length", F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2))
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("length", 9)), "mapping")
+    top = each.withColumns({"_k": F.row_number().over(w), "margin": F.col("length") - F.lead("length").over(w)}).where("_k = 1").drop("_k")
+    return top.withColumn("reliable", (F.col("length") >= least) & (F.col("margin") >= margin) & (F.col("n") >= least_rows))

@@ -27,15 +27,15 @@ def window_counts(df: DataFrame, by: list[str], time: str, reach: int, value: st
 def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, key: str, right_key: str) -> DataFrame:
     """For each row of left the nearest row of right in time, the earlier one on a tie, then the least right_key.
 
-    One sort of the union by group and time: the last right row before and the first one after each left row compete.
+    The union sorted by group and time, forward and back: the last right row before and the first one after each left row compete.
     """
     of_left = left.select(*by, F.col(time).alias("_t"), F.col(key).alias("_key"), F.lit(None).cast("struct<t:bigint,id:bigint>").alias("_r"))
     first = right.groupBy(*by, F.col(time).alias("_t")).agg(F.min(right_key).alias("_id"))
     of_right = first.select(*by, "_t", F.lit(None).cast("bigint").alias("_key"), F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")).alias("_r"))
     both = of_left.unionByName(of_right)
-    w = Window.partitionBy(*by).orderBy("_t")
-    before = F.last("_r", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy(*by)
+    before = F.last("_r", True).over(w.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last("_r", True).over(w.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0))  # a growing frame
     rows = both.withColumns({"_b": before, "_a": after}).where(F.col("_key").isNotNull())
     earlier = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t")))
     best = F.when(earlier, F.col("_b")).otherwise(F.col("_a"))
@@ -48,9 +48,10 @@ def best_ahead(df: DataFrame, by: list[str], order: list[str], ahead: int, score
     score and fits read the row as `a` and the other as `b`. The next rows are taken from a bounded frame, so no join.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_next", F.collect_list(F.struct(*df.columns)).over(w.rowsBetween(1, ahead)))
-    each = rows.select(F.struct(*df.columns).alias("a"), F.posexplode("_next").alias("place", "b"))
-    if fits is not None:
-        each = each.where(fits)
-    top = each.groupBy(F.col(f"a.{key}").alias(key)).agg(F.max_by(F.struct(F.col(f"b.{key}").alias("other"), score.alias("score")), F.struct(score, -F.col("place"))).alias("_x"))
-    return top.select(key, "_x.other", "_x.score")
+    rows = df.select(F.struct(*df.columns).alias("a"), F.collect_list(F.struct(*df.columns)).over(w.rowsBetween(1, ahead)).alias("_next"))
+    if fits is None:
+        fits = F.lit(True)
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("a", "_row", F.posexplode("_next").alias("place", "b")).where(fits)
+    each = each.select("_row", F.struct(score.alias("score"), (-F.col("place")).alias("near"), F.col(f"a.{key}").alias("key"), F.col(f"b.{key}").alias("other")).alias("_x"))
+    # a row's candidates stand side by side, so the maximum is complete before the shuffle and one row each is sent
+    return each.groupBy("_row").agg(F.max("_x").alias("_x")).select(F.col("_x.key").alias(key), "_x.other", "_x.score")

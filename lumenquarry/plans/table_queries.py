@@ -54,7 +54,7 @@ def voxel_downsample(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {P}, b as (select min(x) lx, min(y) ly from p)
 select floor((x - lx) / 0.1)::bigint i_x, floor((y - ly) / 0.1)::bigint i_y, round(avg(x), 9) x, round(avg(y), 9) y, count(*) n from p, b group by 1, 2""")
 def voxel_from_least(spark: SparkSession, d: str) -> DataFrame:
-    """A1, A3: cells that start at the least coordinates"""
+    """A1: cells that start at the least coordinates"""
     v = grid.voxel_mean(points(spark, d), ["x", "y"], 0.1, from_least=True)
     return v.withColumns({a: F.round(a, 9) for a in "xy"})
 
@@ -97,7 +97,7 @@ def extent_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {E} select user_id, min(value) least, max(value) largest, round(avg(value), 8) mean, round(median(value), 9) middle, round(stddev_pop(value), 8) deviation from e group by 1")
 def intrinsics_spread(spark: SparkSession, d: str) -> DataFrame:
-    """C13, C9"""
+    """C13"""
     r = clean.spread(events(spark, d), "value", ["user_id"])
     return r.withColumns({"mean": F.round("mean", 8), "middle": F.round("middle", 9), "deviation": F.round("deviation", 8)})
 
@@ -185,10 +185,11 @@ def odometry_summary(spark: SparkSession, d: str) -> DataFrame:
     return clean.steps(events(spark, d), ["user_id"], ["us", "event_id"], "us").withColumn("mean_step", F.round("mean_step", 3))
 
 
-@query("select r.o_orderkey from (select unnest(range(1, 20001)) o_orderkey) r anti join orders o on o.o_orderkey = r.o_orderkey")
+@query("""with k as (select o_orderkey k from orders where o_orderstatus <> 'P'), b as (select min(k) lo, max(k) hi from k), r as (select unnest(range(lo, hi + 1)) k from b)
+select r.k o_orderkey from r anti join k on k.k = r.k""")
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
-    """C7, J14, U2"""
-    return clean.missing_keys(table(spark, d, "orders"), "o_orderkey", 1, 20000)
+    """Keys from the least to the largest that no order has that isn't pending"""
+    return clean.missing_keys(table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey"), "o_orderkey", None)
 
 
 def missing_ids_whole(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +284,7 @@ ANGLES = [math.radians(5 * k) for k in range(18)]
 u as (select k, 0 d, x * c + y * s u from p, t union all select k, 1, y * c - x * s from p, t),
 b as (select k, d, ph, floor(u / 0.02 + ph) bin, count(*) n from u, (select unnest([0.0, 0.5]) ph) group by all) select k, sum(n * n)::bigint score from b group by 1""")
 def axis_score(spark: SparkSession, d: str) -> DataFrame:
-    """A6, A7"""
+    """A6"""
     return rays.axis_scores(points(spark, d), "x", "y", ANGLES, 0.02)
 
 
@@ -314,7 +315,7 @@ d as (select *, (x2 - x) * (by_ - ay) - (y2 - y) * (bx - ax) det from g, w where
 h as (select wall, ((ax - x) * (by_ - ay) - (ay - y) * (bx - ax)) / det t, ((ax - x) * (y2 - y) - (ay - y) * (x2 - x)) / det u from d where abs(det) > 1e-12)
 select wall, count(*) n from h where t between 0 and 1 and u between 0 and 1 group by 1""")
 def camera_crossing(spark: SparkSession, d: str) -> DataFrame:
-    """J11, W13, M11"""
+    """J11, W13"""
     return rays.crossings(points(spark, d).where("vec_id >= 12"), ["label"], ["vec_id"], walls(spark, d))
 
 
@@ -336,7 +337,7 @@ def frame_bundle_join(spark: SparkSession, d: str) -> DataFrame:
 r as (select *, row_number() over (partition by p_brand order by round(err, 6), s) k, lead(err) over (partition by p_brand order by round(err, 6), s) nxt from c)
 select p_brand, s::double scale, round(err, 6) err, round(nxt / err, 6) margin from r where k = 1""")
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    """J6, O1, M5"""
+    """J6, O1"""
     from pyspark.sql import Window
 
     tried = table(spark, d, "part").select("p_brand", "p_retailprice", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("scale"))
@@ -349,27 +350,12 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("""select o_orderkey, round(o_totalprice - h, 6) lower, round(o_totalprice + h, 6) upper from (select o_orderkey, o_totalprice,
 (0.01 + (case when o_orderpriority like '1%' then 0.02 else 0.01 end) * abs(o_totalprice) + 2 * 0.5) * (case when o_orderkey % 400 < 200 then 2 else 1 end) h from orders)""")
 def interval_measurement(spark: SparkSession, d: str) -> DataFrame:
-    """M18, M21"""
+    """M18"""
     o = table(spark, d, "orders")
     h = interval_half_width(F.col("o_totalprice"), F.lit(0.5), 0.01, 0.01, 2.0, F.startswith("o_orderpriority", F.lit("1")), F.col("o_orderkey") % 400)
     return o.select("o_orderkey", F.round(F.col("o_totalprice") - h, 6).alias("lower"), F.round(F.col("o_totalprice") + h, 6).alias("upper"))
 
 
-@query("""with a as (select n_regionkey, s_suppkey, row_number() over (partition by n_regionkey order by s_acctbal, s_suppkey) k, s_acctbal from supplier join nation on n_nationkey = s_nationkey),
-b as (select n_regionkey, c_custkey, row_number() over (partition by n_regionkey order by c_acctbal, c_custkey) k, c_acctbal from customer join nation on n_nationkey = c_nationkey)
-select a.n_regionkey, s_suppkey, c_custkey, round(abs(s_acctbal - c_acctbal), 6) err from a left join b using (n_regionkey, k)""")
-def assignment_1d(spark: SparkSession, d: str) -> DataFrame:
-    """J16 in one dimension: sorted pairing has the least total distance for sets of one size"""
-    from pyspark.sql import Window
-
-    n = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
-    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    a = s.withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("s_acctbal", "s_suppkey")))
-    b = c.withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("c_acctbal", "c_custkey")))
-    return a.join(b.select("n_regionkey", "k", "c_custkey", "c_acctbal"), ["n_regionkey", "k"], "left").select("n_regionkey", "s_suppkey", "c_custkey", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 6).alias("err"))
-
-
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100")
 def topk_stable(spark: SparkSession, d: str) -> DataFrame:
     """O1 to O3: a report of the first hundred"""
