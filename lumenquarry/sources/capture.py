@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import platform
+import subprocess
+import warnings
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean
@@ -62,17 +68,19 @@ def raw_table(spark: SparkSession, path: str) -> DataFrame:
 def odometry(spark: SparkSession, path: str, tolerance: float | None = 1e-3) -> DataFrame:
     """Poses whose required values are finite, in the file's types.
 
-    Frames that aren't integers and focal lengths that aren't positive are errors; with a tolerance, quaternions are
+    Frames that aren't integers and focal lengths that aren't positive are errors, optical centres that aren't a warning; with a tolerance, quaternions are
     brought to unit length.
     """
     raw = clean.require(raw_table(spark, path), ODOMETRY)
     columns = ODOMETRY + [c for c in ODOMETRY_OPTIONAL if c in raw.columns]
     good = clean.well_formed(clean.numbers(raw, columns), ODOMETRY)
-    state = good.agg(F.coalesce(F.max(F.col("frame") != F.rint("frame")), F.lit(False)).alias("odd"), F.min(F.least("fx", "fy")).alias("focal")).first()
+    state = good.agg(F.coalesce(F.max(F.col("frame") != F.rint("frame")), F.lit(False)).alias("odd"), F.min(F.least("fx", "fy")).alias("focal"), F.min(F.least("cx", "cy")).alias("centre")).first()
     if state["odd"]:
         raise CaptureError(f"{path}: a frame isn't an integer")
     if state["focal"] is not None and state["focal"] <= 0:
         raise CaptureError(f"{path}: a focal length isn't positive")
+    if state["centre"] is not None and state["centre"] <= 0:
+        warnings.warn(f"{path}: an optical centre isn't positive", stacklevel=2)
     if tolerance is not None and state["focal"] is not None:
         good = clean.unit_quaternions(good, ("qx", "qy", "qz", "qw"), tolerance)
     return good.withColumn("frame", F.col("frame").cast("long"))
@@ -106,6 +114,11 @@ def exists(path: str) -> bool:
     return fs.get_file_info(inner).type != pafs.FileType.NotFound
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """rows of one file with their places (row) and one group (all)."""
+    return rows.withColumns({"row": F.monotonically_increasing_id(), "all": F.lit(1)})
+
+
 class Capture:
     """A folder whose tables are lazy DataFrames. With strict, errors of the inventory or the streams' checks refuse it."""
 
@@ -147,21 +160,50 @@ class Capture:
             raise IndexError(f"no frame {frame}")
         return row.asDict()
 
+    def intrinsics(self, frame: int) -> dict:
+        """The focal lengths and optical centre of a frame; an unknown frame is an IndexError."""
+        pose = self.pose(frame)
+        return {k: pose[k] for k in ("fx", "fy", "cx", "cy")}
+
+    def frame(self, frame: int) -> dict:
+        """Pose, depth and, where there is one, confidence of a frame; an unknown frame is an IndexError."""
+        row = self.frames().where(F.col("frame") == frame).first()
+        if row is None:
+            raise IndexError(f"no frame {frame}")
+        return row.asDict()
+
+    def each_frame(self, frames: list[int] | None = None) -> Iterator[dict]:
+        """Frames in their order, one at a time; all of them, or those that are asked for."""
+        rows = self.frames() if frames is None else self.frames().where(F.col("frame").isin(frames))
+        return (r.asDict() for r in rows.orderBy("frame").toLocalIterator())
+
     def imu_window(self, frame: int, seconds: float = 0.05) -> DataFrame:
         """Samples within seconds of a frame's time, both ends included."""
         t = self.pose(frame)["timestamp"]
         return self.imu().where(F.col("timestamp").between(t - seconds, t + seconds))
 
+    def depth_ids(self) -> DataFrame:
+        return files.listing(self.spark, self.path("depth_dir")).where("frame is not null").select("frame")
+
     def depth_sample(self, n: int = 5) -> DataFrame:
-        """C11: least, largest, zero samples and shape of up to n frames at evenly spaced ranks; only these are decoded."""
-        ids = [r[0] for r in files.listing(self.spark, self.path("depth_dir")).where("frame is not null").select("frame").orderBy("frame").collect()]
-        wanted = sorted({ids[round(k * (len(ids) - 1) / max(1, n - 1))] for k in range(n)}) if ids else []
+        """C11: least, largest, zero samples and shape of up to n frames at evenly spaced ranks, cut to whole ones; only these
+        are decoded. A frame that can't be read has its problem and nothing else."""
+        ids = self.depth_ids()
+        many = ids.count()
+        ranks = sorted({int(x) for x in np.linspace(0, many - 1, min(n, many))}) if many else []
+        places = ids.withColumn("rank", F.row_number().over(Window.orderBy("frame")) - 1).where(F.col("rank").isin(ranks))  # a folder's names
+        wanted = [r.frame for r in places.collect()]
         chosen = self.spark.read.format("binaryFile").load(self.path("depth_dir")).where(files.frame_id(F.col("path")).isin(wanted))
         rows = []
         for r in chosen.select(files.frame_id(F.col("path")).alias("frame"), "content").collect():  # n frames at most
-            x = files.png_gray(bytes(r["content"]))
-            rows.append((r["frame"], int(x.min()), int(x.max()), int((x == 0).sum()), x.shape[0], x.shape[1], str(x.dtype)))
-        return self.spark.createDataFrame(sorted(rows), "frame long, least int, largest int, zeros int, height int, width int, dtype string")
+            try:
+                x = files.png_gray(bytes(r["content"]))
+                if x.dtype != np.uint16:
+                    raise files.FormatError(f"frame {r['frame']}: samples are {x.dtype}")
+                rows.append((r["frame"], int(x.min()), int(x.max()), int((x == 0).sum()), x.shape[0], x.shape[1], str(x.dtype), None))
+            except files.FormatError as e:
+                rows.append((r["frame"], None, None, None, None, None, None, str(e)))
+        return self.spark.createDataFrame(sorted(rows, key=lambda r: r[0]), "frame long, least int, largest int, zeros int, height int, width int, dtype string, problem string")
 
     def inventory(self) -> DataFrame:
         """Severity, code and message of what is wrong or worth a note; a capture is valid without errors."""
@@ -175,31 +217,33 @@ class Capture:
         return self.spark.createDataFrame(found, "severity string, code string, message string")
 
     def _images(self, note) -> None:
-        ids: list[int] = []
+        n_depth = 0
         if not exists(self.path("depth_dir")):
             note("error", "depth_dir_missing", self.path("depth_dir"))
         else:
-            listed = files.listing(self.spark, self.path("depth_dir")).where("frame is not null")
-            ids = sorted(r[0] for r in listed.select("frame").collect())
-            if not ids:
+            ids = self.depth_ids()
+            ends = ids.agg(F.count("*").alias("n"), F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
+            n_depth = ends.n
+            if not n_depth:
                 note("error", "depth_empty")
             else:
-                if ids[0]:
-                    note("warning", "depth_not_zero_based", str(ids[0]))
-                if gone := sorted(set(range(ids[0], ids[-1] + 1)).difference(ids)):
-                    note("error", "depth_ids_missing", str(gone[:10]))
-                try:
-                    shapes = {(r["height"], r["width"]) for r in self.depth_sample().collect()}
-                    if len(shapes) > 1:
-                        note("error", "depth_shape_inconsistent", str(sorted(shapes)))
-                    elif shapes != {self.shape}:
-                        note("error", "depth_shape_mismatch", f"{shapes.pop()}, not {self.shape}")
-                except files.FormatError as e:
-                    note("error", "depth_malformed", str(e))
+                if ends.lo:
+                    note("warning", "depth_not_zero_based", str(ends.lo))
+                if gone := [r.frame for r in clean.missing_keys(ids, "frame", None).orderBy("frame").limit(10).collect()]:
+                    note("error", "depth_ids_missing", str(gone))
+                sample = self.depth_sample().collect()
+                for r in sample:
+                    if r.problem:
+                        note("error", "depth_malformed", r.problem)
+                shapes = {(r.height, r.width) for r in sample if not r.problem}
+                if len(shapes) > 1:
+                    note("error", "depth_shape_inconsistent", str(sorted(shapes)))
+                elif shapes and shapes != {self.shape}:
+                    note("error", "depth_shape_mismatch", f"{shapes.pop()}, not {self.shape}")
         if not exists(self.path("confidence_dir")):
             note("error", "confidence_dir_missing", self.path("confidence_dir"))
-        elif (n := files.listing(self.spark, self.path("confidence_dir")).where("frame is not null").count()) != len(ids):
-            note("warning", "confidence_count_mismatch", f"{n}, depth {len(ids)}")
+        elif (n := files.listing(self.spark, self.path("confidence_dir")).where("frame is not null").count()) != n_depth:
+            note("warning", "confidence_count_mismatch", f"{n}, depth {n_depth}")
         if not exists(self.path("rgb")):
             note("error", "rgb_missing", self.path("rgb"))
         else:
@@ -224,7 +268,7 @@ class Capture:
                     note("error", "odometry_duplicate_ids", str(q["duplicate_frames"][:10]))
                 if q["missing_frames"]:
                     note("error", "odometry_missing_ids", str(q["missing_frames"][:10]))
-                if clean.steps(poses.withColumn("all", F.lit(1)), ["all"], ["frame"], "timestamp").where("not monotonic").count():
+                if clean.steps(in_file_order(poses), ["all"], ["row"], "timestamp").where("not monotonic").count():
                     note("error", "odometry_timestamps", "times don't rise")
             except ValueError as e:
                 note("error", "odometry_invalid", str(e))
@@ -234,9 +278,11 @@ class Capture:
         else:
             try:
                 m = camera_matrix(self.spark, self.path("camera_matrix"))
-                first = poses.orderBy("frame").first() if poses is not None else None
-                if first and max(abs(first["fx"] - m[0][0]), abs(first["fy"] - m[1][1]), abs(first["cx"] - m[0][2]), abs(first["cy"] - m[1][2])) > tolerance.get("intrinsics_consistency_tolerance_px", 1e-3):
-                    note("warning", "intrinsics_disagree")
+                fixed = {"fx": m[0][0], "fy": m[1][1], "cx": m[0][2], "cy": m[1][2]}
+                seen = poses.agg(*[f(k).alias(f"{n}_{k}") for k in fixed for n, f in (("lo", F.min), ("hi", F.max))]).first() if poses is not None else None
+                for k, x in fixed.items():
+                    if seen and seen[f"lo_{k}"] is not None and not seen[f"lo_{k}"] <= x <= seen[f"hi_{k}"]:
+                        note("warning", "intrinsics_disagree", f"{k} {x} isn't in {seen[f'lo_{k}']} to {seen[f'hi_{k}']}")
             except (ValueError, TypeError) as e:
                 note("error", "camera_matrix_invalid", str(e))
         if poses is not None and (s := clean.spread(poses, "fx", []).first()) and s["middle"]:
@@ -257,14 +303,14 @@ class Capture:
         d = files.listing(self.spark, self.path("depth_dir")).where("frame is not null").agg(F.count("*").alias("n"), F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
         poses = self.odometry()
         o = poses.agg(F.count("*").alias("n"), F.min("frame").alias("lo"), F.max("frame").alias("hi"), (F.max("timestamp") - F.min("timestamp")).alias("span")).first()
-        s = clean.steps(poses.withColumn("all", F.lit(1)), ["all"], ["frame"], "timestamp").first()
+        s = clean.steps(in_file_order(poses), ["all"], ["row"], "timestamp").first()
         n, fps, span = video["frame_count"], video["fps"], o["span"] or 0.0
         filmed = (n - 1) / fps if fps else 0.0
         rate = (o["n"] - 1) / span if span else 0.0
         checks = [
             ("streams_present", bool(n and d["n"] and o["n"]), f"rgb {n}, depth {d['n']}, odometry {o['n']}"),
             ("frame_counts_equal", n == d["n"] == o["n"], f"rgb {n}, depth {d['n']}, odometry {o['n']}"),
-            ("depth_ids_match_odometry_frames", (d["lo"], d["hi"]) == (o["lo"], o["hi"]), f"{d['lo']} to {d['hi']}, {o['lo']} to {o['hi']}"),
+            ("depth_ids_match_odometry_frames", (d["lo"], d["hi"]) == (o["lo"], o["hi"]) and (d["hi"] is None or d["n"] == d["hi"] - d["lo"] + 1), f"{d['lo']} to {d['hi']}, {o['lo']} to {o['hi']}"),
             ("duration_agrees", span > 0 and abs(span - filmed) / span <= limits["duration_tolerance_frac"], f"{span:.6g} s, video {filmed:.6g} s"),
             ("effective_rate_matches_video_fps", fps > 0 and abs(rate - fps) / fps <= limits["fps_tolerance_frac"], f"{rate:.6g}, video {fps:.6g}"),
             ("timestamp_spacing_info", True, f"median {s['middle_step']}" if s else ""),
@@ -288,3 +334,17 @@ class Capture:
             out[name] = hashlib.sha256("\n".join(found).encode()).hexdigest()
         fs, inner = files.filesystem(self.path("rgb"))
         return out | {"rgb": fs.get_file_info(inner).size}
+
+    def provenance(self) -> dict:
+        """The folder, its fingerprint, the configuration and its hash, the code's commit and the versions used."""
+
+        def git(*what: str) -> str:
+            return subprocess.run(["git", *what], cwd=os.path.dirname(__file__), capture_output=True, text=True, timeout=5).stdout.strip()
+
+        try:
+            commit = (git("rev-parse", "HEAD") or "unknown") + ("+dirty" if git("status", "--porcelain") else "")
+        except (OSError, subprocess.SubprocessError):
+            commit = "unknown"
+        config = json.dumps(self.config, sort_keys=True, default=str)
+        versions = {"python": platform.python_version(), "spark": self.spark.version, "numpy": np.__version__, "platform": platform.platform()}
+        return {"input_path": self.folder, "fingerprint": self.fingerprint(), "config": self.config, "config_hash": hashlib.sha256(config.encode()).hexdigest(), "code_version": commit, "dependencies": versions}
