@@ -17,7 +17,7 @@ length, is at least `similarity`. Of each connected group of lines over the whol
    replaced in their places are a bound from above, pairs of characters that stand too far away one from below; what
    neither decides is computed.
 
-The lines to fetch and the decisions, lists of line numbers for the documents concerned, are joined with the texts: by
+Joins of keys with keys, which are narrow, are shuffled. The lines to fetch and the decisions, lists of line numbers for the documents concerned, are joined with the texts: by
 broadcast while their counted size is small; beyond that a sieve of bounded size passes the documents concerned (and a
 few others), and only those are shuffled.
 
@@ -55,7 +55,7 @@ TASK_LINES = 2048
 CLASS = np.zeros(256, np.uint8)
 CLASS[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = 1
 CLASS[np.frombuffer(b" \t\n\v\f\r", np.uint8)] = 2
-GRAMS_AT_ONCE = 1 << 16
+GRAMS_AT_ONCE = 1 << 17
 #: Buckets of band keys for each shuffle partition, 40 bits of a line's key, and a pair of a 32- and a 40-bit number.
 BUCKETS, LINE = 16, np.uint64((1 << 40) - 1)
 PAIR = np.dtype([("x", "<u4"), ("y", "<u4"), ("y_top", "u1")])
@@ -98,7 +98,11 @@ def normalised(lines: pa.Array) -> pa.Array:
 
 def line_keys(normal: pa.Array) -> np.ndarray:
     """A row of two integers, 128 bits, for each form."""
-    joined = b"".join([xxhash.xxh3_128_digest(x) for x in normal.to_pylist()])
+    if not len(normal):
+        return np.empty((0, 2), np.int64)
+    at = np.frombuffer(normal.buffers()[1], np.int32)[normal.offset : normal.offset + len(normal) + 1].tolist()
+    data = memoryview(normal.buffers()[2] or b"")
+    joined = b"".join([xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)])
     return np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
 
 
@@ -334,7 +338,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     seen = common.cut(occurrences(docs, min_chars))
     unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "hash")).alias("at"), F.count("*").alias("n")))
     clusters = common.cut(graph.components(band_edges(docs, min_chars)))
-    met = common.small_or_shuffled(unique, clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"), "inner", clusters.count(), 24)
+    met = unique.join(clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"))
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
     # a text that only shares the hash with the one that was asked for gives lines of other keys
@@ -359,9 +363,9 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
     named = common.cut(grouped.join(first, "root").select("k1", "k2", "first"))
-    known = common.small_or_shuffled(unique.select("k1", "k2", "at", "n"), named, ["k1", "k2"], "left", named.count(), 96)
+    known = unique.join(named, ["k1", "k2"], "left")
     decided = common.cut(known.where("n > 1 or first is not null").select("k1", "k2", F.coalesce("first", "at").alias("first")))
-    lost = common.small_or_shuffled(seen, decided, ["k1", "k2"], "inner", decided.count(), 96).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("hash") == F.col("first.hash"))))
+    lost = seen.join(decided, ["k1", "k2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("hash") == F.col("first.hash"))))
     return lost.groupBy(F.col("doc_id").alias("drop_doc"), F.col("hash").alias("drop_hash")).agg(F.array_sort(F.collect_set("line")).alias("drop_lines"))
 
 
