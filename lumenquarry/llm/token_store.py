@@ -80,7 +80,7 @@ def bounds_of(docs: DataFrame, shards: int) -> list[int]:
 
 def shards_for(docs: DataFrame) -> int:
     """At least one for each shuffle partition, and one for each SHARD_BYTES of text, by the size that the plan tells or, where it tells none, counted."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
