@@ -366,13 +366,13 @@ def scene_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with m as (select s_nationkey g, s_suppkey, s_acctbal a, s_acctbal + s_suppkey % 7 - 3 b from supplier)
-select s_suppkey, round(abs(a - b) / b * 100, 6) percent, round(abs(a - b) * 100, 6) cm, round(abs(a - b), 6) apart, round(abs(a - b) / ((a + b) / 2) * 100, 6) apart_percent from m""")
+select s_suppkey, round(abs(a - b) / b * 100, 4) percent, round(abs(a - b) * 100, 4) cm, round(abs(a - b), 4) apart, round(abs(a - b) / ((a + b) / 2) * 100, 4) apart_percent from m""")
 def measure_errors(spark: SparkSession, d: str) -> DataFrame:
     """M21"""
     m = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("a"), (F.col("s_acctbal") + F.col("s_suppkey") % 7 - 3).alias("b"))
     apart, percent = measure.spread(F.col("a"), F.col("b"))
     cols = {"percent": measure.percent_error(F.col("a"), F.col("b")), "cm": measure.error_cm(F.col("a"), F.col("b")), "apart": apart, "apart_percent": percent}
-    return m.select("s_suppkey", *[F.round(c, 6).alias(n) for n, c in cols.items()])
+    return m.select("s_suppkey", *[F.round(c, 4).alias(n) for n, c in cols.items()])
 
 
 def matched_balances(spark: SparkSession, d: str) -> DataFrame:
