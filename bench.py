@@ -8,9 +8,10 @@ import time
 
 from pyspark.sql import SparkSession
 
+from lumenquarry.plans import scene_queries  # noqa: F401  (adds its queries)
 from lumenquarry.plans import table_queries as T
 
-NAMES = ["voxel_downsample", "gap_islands", "extent_quantiles", "histogram_peaks", "imu_window", "interval_join", "nearest_asof", "pair_theta_join", "greedy_keyframes", "tall_column_filter", "conformal_quantile", "axis_score", "ray_first_hit", "interval_measurement", "share_of_best"]
+NAMES = ["voxel_downsample", "gap_islands", "extent_quantiles", "histogram_peaks", "imu_window", "interval_join", "nearest_asof", "pair_theta_join", "greedy_keyframes", "tall_column_filter", "conformal_quantile", "axis_score", "ray_first_hit", "interval_measurement", "share_of_best", "corner_snap", "boundary_walls", "polygon_raster", "label_fill", "merged_peaks", "measurement_intervals"]
 
 
 def main() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -115,19 +116,22 @@ def thin_runs(df: DataFrame, by: list[str], value: str, width: float, share: flo
 
 
 def spaced(df: DataFrame, by: list[str], time: str, key: str, least: int) -> DataFrame:
-    """Greedy keyframes by time: a row is kept when it is at least `least` after the last kept one. Each step of a
-    group's sorted times is one search."""
-
-    def rule(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, key])
-        t, kept, k = rows[time].to_numpy(), [], 0
-        while k < len(t):
-            kept.append(k)
-            k = max(k + 1, int(np.searchsorted(t, t[k] + least, side="left")))
-        return rows.iloc[kept][[*by, key]]
-
+    """Greedy keyframes by time: a row is kept when it is at least `least` after the last kept one. The sorted rows pass
+    through a batch at a time with the last kept one in mind, so no group is held as a whole."""
     narrow = df.select(*by, time, key)
-    return narrow.groupBy(*by).applyInPandas(rule, narrow.drop(time).schema)
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, None
+        for rows in batches:
+            of = rows[by].astype(object)
+            kept = []
+            for k, (g, t) in enumerate(zip(of.where(of.notna(), None).itertuples(index=False, name=None), rows[time].tolist(), strict=True)):
+                if last is None or g != group or t - last >= least:
+                    kept.append(k)
+                    group, last = g, t
+            yield rows.iloc[kept][[*by, key]]
+
+    return narrow.repartition(*by).sortWithinPartitions(*by, time, key).mapInPandas(rule, narrow.drop(time).schema)
 
 
 def keyframes(df: DataFrame, by: list[str], order: str, position: list[str], rotation: list[str], least_rows: int = 10, least_move: float = 0.05, least_turn: float = 3.0, most: int = 300) -> DataFrame:
