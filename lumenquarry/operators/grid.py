@@ -1,4 +1,4 @@
-"""Grid operators (A1 to A4, A18, A19, C24, G1 to G7, G9, J13, J17, J18): cells are rows, neighbourhoods are equi-joins."""
+"""Grid operators (A1 to A4, A18, A19, C24, G1 to G11, J13, J17, J18): cells are rows, neighbourhoods are equi-joins."""
 
 from __future__ import annotations
 
@@ -188,3 +188,132 @@ def clearance(free: DataFrame, obstacles: DataFrame, reach: int) -> DataFrame:
     """The exact distance, in cells, of each free cell to the nearest obstacle, `reach` where none is that near."""
     near = within(obstacles.select("i", "j").distinct(), reach).groupBy("i", "j").agg(F.min("d2").alias("d2"))
     return free.select("i", "j").join(near, ["i", "j"], "left").select("i", "j", F.least(F.coalesce(F.sqrt("d2"), F.lit(float(reach))), F.lit(float(reach))).alias("distance"))
+
+
+def edge(region: DataFrame) -> DataFrame:
+    """The cells of a region that have a side on the outside."""
+    return region.select("i", "j").join(erode(region, "disc", 1), ["i", "j"], "left_anti")
+
+
+def centre_area(region: DataFrame) -> float:
+    """The area, in cells, inside the line through the centres of a filled region's outer cells: a polygon on lattice
+    points, so n - edge / 2 - 1 (Pick). Counts only; exact where the region is nowhere thinner than 2 cells."""
+    return max(region.count() - edge(region).count() / 2 - 1, 0.0)
+
+
+RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def trace(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The outer edge cells of the piece that holds the least cell, in order: around each cell the next one after the
+    outside, until the first step comes again."""
+    at = start = min(cells)
+    out, back, first = [start], 0, None
+    while True:
+        turns = [(back + k) % 8 for k in range(1, 9)]
+        d = next((d for d in turns if (at[0] + RING[d][0], at[1] + RING[d][1]) in cells), None)
+        if d is None:
+            return out
+        if (at, d) == first:
+            return out[:-1]
+        first = first or (at, d)
+        before = RING[d - 1]
+        at = (at[0] + RING[d][0], at[1] + RING[d][1])
+        back = RING.index((before[0] - RING[d][0], before[1] - RING[d][1]))
+        out.append(at)
+
+
+def simplified(line: np.ndarray, most: float) -> np.ndarray:
+    """The corners of a closed line: split at the two places far from one another, then wherever a place is further than
+    `most` from the chord (Douglas-Peucker)."""
+    if len(line) < 4:
+        return line
+    half = int(np.argmax(((line - line[0]) ** 2).sum(axis=1)))
+    keep, ring = {0, half}, np.vstack([line, line[:1]])
+    todo = [(0, half), (half, len(line))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        p, q = ring[a], ring[b]
+        rel, chord = ring[a + 1 : b] - p, q - p
+        size = float(np.hypot(*chord))
+        far = np.abs(rel[:, 0] * chord[1] - rel[:, 1] * chord[0]) / size if size else np.hypot(rel[:, 0], rel[:, 1])
+        k = int(np.argmax(far))
+        if far[k] > most:
+            keep.add(a + 1 + k)
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return line[sorted(k % len(line) for k in keep)]
+
+
+def outlines(labelled: DataFrame, most: float) -> DataFrame:
+    """The corners (label, corner, i, j) of each label's outer edge, simplified by `most` cells. Only edge cells are
+    shuffled; the walk along one region's edge is one task."""
+    own = moved_labels(labelled, offsets("disc", 1)).groupBy("i", "j", F.col("l2").alias("label")).agg(F.count("*").alias("_n")).where("_n = 5").drop("_n")
+    rim = labelled.select("i", "j", "label").join(own, ["i", "j", "label"], "left_anti")
+
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        line = simplified(np.array(trace(set(zip(rows["i"].tolist(), rows["j"].tolist(), strict=True)))), most)
+        return pd.DataFrame({"label": rows["label"].iloc[0], "corner": np.arange(len(line)), "i": line[:, 0], "j": line[:, 1]})
+
+    return rim.groupBy("label").applyInPandas(rule, f"label {dict(labelled.dtypes)['label']}, corner long, i long, j long")
+
+
+def merged_basins(tops: dict, saddles: list[tuple], least: float) -> dict:
+    """Which basin each basin belongs to, of tops (basin: height) and saddles (height, basin, basin). From the highest
+    saddle down two parts meet; the lower part's top stays a peak where it is `least` above the saddle, else its basin joins
+    the one it meets there."""
+    part, room = {b: b for b in tops}, {b: b for b in tops}
+
+    def root(of: dict, b):
+        while of[b] != b:
+            of[b] = of[of[b]]
+            b = of[b]
+        return b
+
+    for height, a, b in sorted(saddles, key=lambda s: (-s[0], s[1], s[2])):
+        pa, pb = root(part, a), root(part, b)
+        if pa == pb:
+            continue
+        low, high, beside = (pa, pb, b) if (tops[pa], pa) < (tops[pb], pb) else (pb, pa, a)
+        if tops[low] - height < least:
+            room[root(room, low)] = root(room, beside)
+        part[low] = high
+    return {b: root(room, b) for b in tops}
+
+
+def basins(depth: DataFrame, least: float) -> DataFrame:
+    """Cells (i, j, level) with the peak (pi, pj) of their basin; peaks are those that stand `least` above the
+    saddle to a higher one, or are their component's highest (8 neighbours).
+
+    A cell points to the highest of its neighbourhood (ties: the greatest cell); pointers double until they rest, with a
+    checkpoint each round. Only the basins' tops and saddles meet in one task. Cells go by steepest ascent, not in the order
+    of a flood, so cells between two rooms may fall to the other side; the peaks are the same.
+    """
+    here = depth.select("i", "j", "level").where("level is not null")
+    steps = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in offsets("square", 1)])
+    told = here.select(F.explode(steps).alias("s"), F.struct("level", "i", "j").alias("t")).select((F.col("t.i") + F.col("s.a")).alias("i"), (F.col("t.j") + F.col("s.b")).alias("j"), "t")
+    best = told.groupBy("i", "j").agg(F.max("t").alias("t"))
+    state = here.join(best, ["i", "j"]).select("i", "j", "level", F.col("t.i").alias("pi"), F.col("t.j").alias("pj")).checkpoint()
+    while True:
+        next_ = state.select(F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("pi").alias("ni"), F.col("pj").alias("nj"))
+        new = state.join(next_, ["pi", "pj"]).select("i", "j", "level", F.col("ni").alias("pi"), F.col("nj").alias("pj"), ((F.col("ni") != F.col("pi")) | (F.col("nj") != F.col("pj"))).alias("_moved")).checkpoint()
+        state = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            break
+    half = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    beside = state.select(F.explode(half).alias("s"), "i", "j", F.col("level").alias("l2"), F.col("pi").alias("qi"), F.col("pj").alias("qj")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"), "l2", "qi", "qj")
+    met = state.join(beside, ["i", "j"]).where("pi <> qi or pj <> qj")
+    a, b = F.struct("pi", "pj"), F.struct(F.col("qi").alias("pi"), F.col("qj").alias("pj"))
+    saddles = met.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(F.least("level", "l2")).alias("level"))
+    tops = state.where("i = pi and j = pj").select("pi", "pj", F.lit(None).cast("long").alias("qi"), F.lit(None).cast("long").alias("qj"), F.col("level").cast("double").alias("level"))
+    rows = tops.unionByName(saddles.select("a.pi", "a.pj", F.col("b.pi").alias("qi"), F.col("b.pj").alias("qj"), F.col("level").cast("double").alias("level")))
+
+    def rule(rows: pd.DataFrame) -> pd.DataFrame:
+        top = rows["qi"].isna()
+        high = {(r.pi, r.pj): r.level for r in rows[top].itertuples()}
+        of = merged_basins(high, [(r.level, (r.pi, r.pj), (int(r.qi), int(r.qj))) for r in rows[~top].itertuples()], least)
+        return pd.DataFrame([(*b, *r) for b, r in of.items()], columns=["pi", "pj", "ri", "rj"])
+
+    rooms = rows.groupBy().applyInPandas(rule, "pi long, pj long, ri long, rj long")
+    return state.join(rooms, ["pi", "pj"]).select("i", "j", F.col("ri").alias("pi"), F.col("rj").alias("pj"))
