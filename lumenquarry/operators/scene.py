@@ -1,4 +1,4 @@
-"""Fits of a whole capture (M2, M4, M7, M15 to M17): compositions of the histogram, wall, grid and plane operators.
+"""Fits of a whole capture (M2, M4, M7, M14 to M17): compositions of the histogram, wall, grid and plane operators.
 
 What reaches the driver is a fit's few numbers: peaks of one histogram, planes, the ends of a scene's walls.
 """
@@ -142,6 +142,32 @@ def axis_walls(cells: DataFrame, axes: DataFrame, cell: float = 0.02, capture: f
     return w.select("scene", "wall", *walls.WALL, "n_cells", "axis", "raw_angle", "snapped_deg", "residual_std", "reason")
 
 
+def room_walls(cells: DataFrame, axes: DataFrame, path: DataFrame, order: list[str], band: DataFrame | None = None, origins: int = 40) -> DataFrame:
+    """A scene's walls, ends moved to the corners: axis_walls of the cells; those with too little support in the high
+    band (scene, x, y), those the camera's path (scene, x, y and its order) crosses on material and those its rays seldom
+    meet first go; ends snap, close and are cut where they overshoot. Each step is cut, for the next reads it several times.
+
+    axes: scenes whose axes are reliable; others have no walls here, as there is no fit of free lines.
+    """
+    checkpoints(cells.sparkSession)
+    base = ["scene", "wall", *walls.WALL, "n_cells"]
+    cut = lambda df: df.select(*base).checkpoint()
+    w = cut(axis_walls(cells, axes).where("reason is null"))
+    if band is not None:
+        w = cut(walls.filter_by_band(w, band))
+    path = path.select("scene", *order, "x", "y")
+    crossed = walls.camera_crossed(w, path, cells, order).where("on_material > 0")
+    w = cut(w.join(crossed.select("scene", "wall"), ["scene", "wall"], "left_anti"))
+    by = Window.partitionBy("scene")
+    ranked = path.withColumns({"origin": F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count("*").over(by)})
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(origins - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / max(origins - 1, 1)))
+    eyes = ranked.where((F.col("_n") <= origins) | F.array_contains(ranks, F.col("origin").cast("long"))).select("scene", "origin", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    w = cut(walls.prune_non_boundary(w, eyes))
+    inside = path.groupBy("scene").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
+    w = cut(walls.close_corners(cut(walls.snap_corners(w))))
+    return cut(walls.trim_overshoot(w, inside.select("scene", "px", "py")).unionByName(w.join(inside, "scene", "left_anti"), allowMissingColumns=True))
+
+
 def openings(points: DataFrame, found: DataFrame, inside: DataFrame, top: Column | float, band: float = 0.05, middle: tuple[float, float] = (0.9, 1.5), low: tuple[float, float] = (0.1, 0.5), width: float = 0.02, narrowest: float = 0.45, thin: float = 0.15, margin: float = 0.10, beyond: float = 0.15, least_seen: int = 30, least_points: int = 50) -> DataFrame:
     """Openings of walls: gaps in the points (scene, x, y, h) of a wall's middle heights, seen through where enough
     points lie beyond it; doors have little low down, windows much. inside: scene, px, py. top: the highest height used.

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, measure, rays, series, walls
+from ..operators import grid, measure, rays, scene, series, walls
 from .table_queries import CELLS, HIST, HOUR, E, P, events, points, query, table
 
 G = f"{P}, g as (select label scene, vec_id wall, x ax, y ay, lead(x) over v bx, lead(y) over v by_ from p window v as (partition by label order by vec_id))"
@@ -451,4 +451,30 @@ def status_map(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l_returnflag", F.try_element_at("m", F.lit("F")).alias("n_f"), F.try_element_at("m", F.lit("O")).alias("n_o"))
 
 
-UNCHECKED = {f.__name__: f for f in (hull_area, assignment_least, scene_gates)}
+@query(f"with {CELLS} select i, j from c where (select count(*) from c n where abs(n.i - c.i) + abs(n.j - c.j) = 1) < 4")
+def edge_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells from which outlines and their areas are made"""
+    return grid.edge(grid.cells(points(spark, d), "x", "y", 0.05))
+
+
+@query(f"""with recursive {P}, c as (select floor(x / 0.05)::bigint i, floor(y / 0.05)::bigint j, count(*) n from p group by 1, 2),
+b as (select c.i, c.j, arg_max(t.i, (t.n, t.i, t.j)) pi, arg_max(t.j, (t.n, t.i, t.j)) pj from c join c t on abs(t.i - c.i) <= 1 and abs(t.j - c.j) <= 1 group by 1, 2),
+r as (select i, j, pi, pj from b union all select r.i, r.j, b.pi, b.pj from r join b on b.i = r.pi and b.j = r.pj where b.pi <> r.pi or b.pj <> r.pj)
+select r.i, r.j, r.pi, r.pj from r join b on b.i = r.pi and b.j = r.pj and b.pi = r.pi and b.pj = r.pj""")
+def ascent_basins(spark: SparkSession, d: str) -> DataFrame:
+    """Basins of all peaks (G10 with 0; larger bounds are tested against a flood)"""
+    from ..session import checkpoints
+
+    checkpoints(spark)
+    n = points(spark, d).groupBy(F.floor(F.col("x") / 0.05).cast("long").alias("i"), F.floor(F.col("y") / 0.05).cast("long").alias("j")).agg(F.count("*").alias("level"))
+    return grid.basins(n, 0.0)
+
+
+def axis_walls(spark: SparkSession, d: str) -> DataFrame:
+    """M7; no SQL: tested on made rooms"""
+    p = scene_points(spark, d)
+    axes = p.select("scene").distinct().withColumn("phi", F.lit(0.3))
+    return scene.axis_walls(p, axes, shortest=0.1).select("scene", "wall", "axis", "n_cells", *[F.round(c, 6).alias(c) for c in ("d", "s_min", "s_max", "snapped_deg")], "reason")
+
+
+UNCHECKED = {f.__name__: f for f in (hull_area, assignment_least, scene_gates, axis_walls)}

@@ -41,6 +41,15 @@ def test_no_cells_no_walls(spark):
     assert scene.axis_walls(box(spark).where("x < -1"), axes).count() == 0
 
 
+def test_a_room_from_its_cells(shared):
+    inner = shared.createDataFrame([("a", 2.0, 0.02 * k) for k in range(10, 130)], "scene string, x double, y double")
+    path = shared.createDataFrame([("a", k, 1.0 + 0.05 * k, 1.5) for k in range(41)], "scene string, t int, x double, y double")
+    axes = shared.createDataFrame([("a", 0.0)], "scene string, phi double")
+    got = scene.room_walls(box(shared).union(inner), axes, path, ["t"]).collect()
+    assert sorted(round(r.s_max - r.s_min, 2) for r in got) == [3.0, 3.0, 4.0, 4.0]
+    assert sorted(round(abs(r.d), 2) for r in got) == [0.0, 0.0, 3.0, 4.0]  # the inner wall at x = 2 is crossed, so it is gone
+
+
 def room(spark):
     rows = [("a", 0, 0.0, 0.0, 4.0, 0.0), ("a", 1, 4.0, 0.0, 4.0, 3.0), ("a", 2, 4.0, 3.0, 0.0, 3.0), ("a", 3, 0.0, 3.0, 0.0, 0.0)]
     return walls.from_segments(spark.createDataFrame(rows, "scene string, wall int, ax double, ay double, bx double, by double"))
