@@ -288,35 +288,36 @@ def axis_score(spark: SparkSession, d: str) -> DataFrame:
     return rays.axis_scores(points(spark, d), "x", "y", ANGLES, 0.02)
 
 
-WALLS = "w as (select vec_id wall, x ax, y ay, lead(x) over (order by vec_id) bx, lead(y) over (order by vec_id) by_ from p where vec_id < 12)"
+WALLS = "m as (select label, round(avg(x), 6) x, round(avg(y), 6) y from p group by 1), w as (select label wall, x ax, y ay, lead(x) over (order by label) bx, lead(y) over (order by label) by_ from m)"
 
 
 def walls(spark: SparkSession, d: str) -> DataFrame:
-    """The polyline through the first twelve points, as a scene's walls."""
+    """The polyline through the labels' mean points, as a scene's walls; the labels are few at every scale."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("vec_id")
-    return points(spark, d).where("vec_id < 12").select(F.col("vec_id").alias("wall"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null")
+    w = Window.orderBy("label")
+    m = points(spark, d).groupBy("label").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    return m.select(F.col("label").alias("wall"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null")
 
 
-@query(f"""with {P}, {WALLS}, r as (select vec_id origin, x ox, y oy, ray, cos(ray * {2 * math.pi / 72!r}) dx, sin(ray * {2 * math.pi / 72!r}) dy from p, (select unnest(range(72)) ray) where vec_id < 40),
+@query(f"""with {P}, {WALLS}, r as (select vec_id origin, x ox, y oy, ray, cos(ray * {2 * math.pi / 72!r}) dx, sin(ray * {2 * math.pi / 72!r}) dy from p, (select unnest(range(72)) ray)),
 d as (select *, dx * (by_ - ay) - dy * (bx - ax) det from r, w where bx is not null),
 h as (select *, ((ax - ox) * (by_ - ay) - (ay - oy) * (bx - ax)) / det t, ((ax - ox) * dy - (ay - oy) * dx) / det u from d where abs(det) > 1e-9),
 k as (select *, row_number() over (partition by origin, ray order by round(t, 9), wall) q from h where t > 1e-9 and u between 0 and 1)
 select origin, ray::int ray, wall, round(t, 9) t from k where q = 1""")
 def ray_first_hit(spark: SparkSession, d: str) -> DataFrame:
     """J12, G15"""
-    origins = points(spark, d).where("vec_id < 40").select(F.col("vec_id").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    origins = points(spark, d).select(F.col("vec_id").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     return rays.first_hits(origins, walls(spark, d), 72)
 
 
-@query(f"""with {P}, {WALLS}, g as (select x, y, lead(x) over v x2, lead(y) over v y2 from p where vec_id >= 12 window v as (partition by label order by vec_id)),
+@query(f"""with {P}, {WALLS}, g as (select x, y, lead(x) over v x2, lead(y) over v y2 from p window v as (partition by label order by vec_id)),
 d as (select *, (x2 - x) * (by_ - ay) - (y2 - y) * (bx - ax) det from g, w where x2 is not null and bx is not null),
 h as (select wall, ((ax - x) * (by_ - ay) - (ay - y) * (bx - ax)) / det t, ((ax - x) * (y2 - y) - (ay - y) * (x2 - x)) / det u from d where abs(det) > 1e-12)
 select wall, count(*) n from h where t between 0 and 1 and u between 0 and 1 group by 1""")
 def camera_crossing(spark: SparkSession, d: str) -> DataFrame:
     """J11, W13"""
-    return rays.crossings(points(spark, d).where("vec_id >= 12"), ["label"], ["vec_id"], walls(spark, d))
+    return rays.crossings(points(spark, d), ["label"], ["vec_id"], walls(spark, d))
 
 
 @query("""with s as (select doc_id, trim(split_part(text, ' ', 1)) a, source b, substr(source, 4) c from documents)
