@@ -3,9 +3,12 @@
 import itertools
 import json
 import math
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenquarry.functions import quaternion_matrix
@@ -161,3 +164,41 @@ def test_a_file_that_cannot_be_written_gets_a_sibling(tmp_path):
     (tmp_path / "r.json").mkdir()
     with pytest.warns(UserWarning, match="can't be written"):
         assert reports.write_report({}, str(tmp_path / "r.json")).startswith(str(tmp_path / "r_"))
+
+
+def by_table(left, right):
+    """The table of all prefixes: what best_pairs did before, with the same choice among equals."""
+    if len(left) > len(right):
+        return [(a, b) for b, a in by_table(right, left)]
+    i_of, j_of = sorted(range(len(left)), key=left.__getitem__), sorted(range(len(right)), key=right.__getitem__)
+    n, m = len(left), len(right)
+    cost = [[0.0] * (m + 1)] + [[float("inf")] * (m + 1) for _ in range(n)]
+    for i in range(1, n + 1):
+        for j in range(i, m + 1):
+            cost[i][j] = min(cost[i][j - 1], cost[i - 1][j - 1] + abs(left[i_of[i - 1]] - right[j_of[j - 1]]))
+    out, i, j = [], n, m
+    while i:
+        if j > i and cost[i][j] == cost[i][j - 1]:
+            j -= 1
+        else:
+            out.append((i_of[i - 1], j_of[j - 1]))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def test_best_pairs_as_by_the_table_of_all_prefixes():
+    rng = random.Random(3)
+    for k in range(3000):
+        most = rng.choice([3, 10, 1000])
+        left, right = ([float(rng.randint(-most, most)) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert sorted(measure.best_pairs(left, right)) == sorted(by_table(left, right)), (k, left, right)
+
+
+def test_best_pairs_hold_no_table():
+    rng = random.Random(4)
+    left, right = [rng.random() for _ in range(1500)], [rng.random() for _ in range(3000)]
+    tracemalloc.start()
+    assert len(measure.best_pairs(left, right)) == 1500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # the table has 4.5 million cells
