@@ -202,3 +202,10 @@ def test_best_pairs_hold_no_table():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8e6  # the table has 4.5 million cells
+
+
+def test_null_values_match_nothing(spark):
+    left = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("b", 3, 5.0)], "scene string, k long, v double")
+    right = spark.createDataFrame([("a", 7, 2.0), ("a", 8, 9.0), ("c", 9, None)], "scene string, k long, v double")
+    got = sorted(map(tuple, measure.assignment(left, right, "scene", "v", "k").collect()), key=repr)
+    assert got == sorted([("a", 1, 7, 1.0, 2.0), ("a", 2, None, None, None), ("a", None, 8, None, 9.0), ("b", 3, None, 5.0, None), ("c", None, 9, None, None)], key=repr)
