@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import sys
 import tempfile
@@ -95,6 +96,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, for only then Spark deletes the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(path: str) -> None:
     try:
         fs, inner = filesystem(path)

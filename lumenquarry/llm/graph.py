@@ -16,6 +16,8 @@ from . import common
 
 STAR = "key long, v long, w long, edge boolean"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Edges that one task connects at once; more of them take distributed steps.
+TASK_EDGES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,18 +83,41 @@ def star_edges(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of the edges (a, b), and for each the least item that it is connected with."""
+    items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(items))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            return items, items[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v and comp, the least item that v is connected with, for every item of the edges (a, b).
 
-    Large-star and small-star steps until nothing changes. An item with very many neighbours is a skewed key of a join,
-    which is split, and of a pre-aggregated minimum.
+    Large-star and small-star steps until nothing changes, or until the counted edges are few enough for one task. An item
+    with very many neighbours is a skewed key of a join, which is split, and of a pre-aggregated minimum.
     """
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            e = pa.Table.from_batches(held)
+            v, comp = joined(e["p"].to_numpy(), e["v"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(comp)], ["v", "comp"])
+
     e = common.cut(edges.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("v")).where("p < v").distinct())
     last = None
     while True:
         sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("p", "v").cast("decimal(38,0)"))).first())
         if sign == last:
             break
+        if sign[0] <= TASK_EDGES:
+            return e.coalesce(1).mapInArrow(common.lean(rest), "v long, comp long")
         last = sign
         near = e.select(F.col("v").alias("u"), F.col("p").alias("n")).unionByName(e.select(F.col("p").alias("u"), F.col("v").alias("n")))
         low = near.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -107,18 +132,18 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray], most: int) -> DataFrame:
     """u and root for members that `link` connects with another one.
 
-    members: comp (the candidate cluster), u (unique), weight, and what link reads. link(rows, labels) gives labels that
+    members, which is read more than once: comp (the candidate cluster), u (unique), weight, and what link reads. link(rows, labels) gives labels that
     are equal for connected rows; rows whose labels were equal before need no test. A cluster of a weight over `most` is
     cut into blocks by a hash. First every block is linked in one task with block 0, so what a cluster has in common
     joins at a cost in proportion to it; then pairs of blocks that still hold different labels are linked.
     """
     spark = members.sparkSession
-    members = common.cut(members)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [c for c in members.columns]
     sizes = members.groupBy("comp").agg(F.ceil(F.sum("weight") / most).cast("int").alias("blocks")).where("blocks > 1")
     sizes = common.cut(sizes)
     n_large = sizes.count()
+    common.freed(spark)  # the shuffles that made the members, held until another query has run
 
     def run(rows: DataFrame) -> DataFrame:
         def stars(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -339,14 +339,14 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     if n_large := large.count():
         asked = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_semi", n_large, 16))
         maps = texts_of(asked).mapInArrow(common.lean(bitmaps), "u long, comp long, weight long, n long, bits binary").dropDuplicates(["u"])
-        closer = asked.drop("comp").join(graph.linked(maps, narrow, TASK_BYTES).withColumnRenamed("root", "comp"), "u")
+        closer = asked.drop("comp").join(graph.linked(common.cut(maps), narrow, TASK_BYTES).withColumnRenamed("root", "comp"), "u")
         wanted = common.cut(common.small_or_shuffled(wanted, large, "comp", "left_anti", n_large, 16).unionByName(closer))
     found = texts_of(wanted).mapInArrow(common.lean(checked), "u long, weight long, comp long, text string").dropDuplicates(["u"])
 
     def link(table: pa.Table, labels: np.ndarray) -> np.ndarray:
         return tree_join(shingle_sets(table["text"].combine_chunks(), words), labels, num, den)
 
-    links = graph.linked(found, link, TASK_SHINGLES)
+    links = graph.linked(common.cut(found), link, TASK_SHINGLES)
     # classes that are linked get their group's least doc_id; the others their own
     grouped = each.join(links, "u").select("d1", "d2", "root", "first")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))

@@ -332,15 +332,8 @@ def link(similarity: float):
     return run
 
 
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
-    """drop_doc, drop_hash and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
-    common.arrow_batches(docs.sparkSession)
-    seen = common.cut(occurrences(docs, min_chars))
-    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "hash")).alias("at"), F.count("*").alias("n")))
-    clusters = common.cut(graph.components(band_edges(docs, min_chars)))
-    met = unique.join(clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"))
-    members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
-    wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
+def fetched(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """u, comp, weight, text, keys: the members' normalised lines and band keys, from the documents that wanted lists."""
     # a text that only shares the hash with the one that was asked for gives lines of other keys
     texts = with_lines(docs.select("doc_id", "text"), "doc_id", "text", wanted, "lines", exact=False).where("lines is not null")
 
@@ -358,8 +351,23 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), normal, pa.array(bands.tolist(), pa.binary())], ["k1", "k2", "text", "keys"])
 
     lines = texts.select("text", "lines").mapInArrow(common.lean(fetch), "k1 long, k2 long, text string, keys binary").dropDuplicates(["k1", "k2"])
-    found = lines.join(members.select("k1", "k2", "u", "comp"), ["k1", "k2"]).select("u", "comp", F.lit(1).cast("long").alias("weight"), "text", "keys")
-    links = graph.linked(found, link(similarity), TASK_LINES)
+    return common.cut(lines.join(members.select("k1", "k2", "u", "comp"), ["k1", "k2"]).select("u", "comp", F.lit(1).cast("long").alias("weight"), "text", "keys"))
+
+
+def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
+    """drop_doc, drop_hash and drop_lines, the numbers of the lines that the document loses; documents that lose none are absent."""
+    common.arrow_batches(docs.sparkSession)
+    seen = common.cut(occurrences(docs, min_chars))
+    unique = common.cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "hash")).alias("at"), F.count("*").alias("n")))
+    clusters = common.cut(graph.components(band_edges(docs, min_chars)))
+    common.freed(docs.sparkSession)  # the band keys' shuffle is the largest
+    met = unique.join(clusters, F.col("k1").bitwiseAND(F.lit(int(LINE))) == F.col("v"))
+    members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
+    wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
+    found = fetched(docs, members, wanted)
+    links = common.cut(graph.linked(found, link(similarity), TASK_LINES))
+    del found
+    common.freed(docs.sparkSession)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))
     named = common.cut(grouped.join(first, "root").select("k1", "k2", "first"))
@@ -397,6 +405,7 @@ def with_lines(docs: DataFrame, doc_id: str, text: str, side: DataFrame, lines:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """doc = the row as it was, text = what its lines keep, n_lines and n_dropped."""
     gone = common.cut(dropped(docs, min_chars, similarity))
+    common.freed(docs.sparkSession)
     rows = with_lines(docs.select(F.struct("*").alias("doc")), "doc.doc_id", "doc.text", gone, "drop_lines")
     lines = F.split("doc.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop_lines", i)), "\n")

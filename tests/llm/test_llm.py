@@ -3,6 +3,7 @@ import hashlib
 import io
 import re
 import string
+import time
 import zlib
 
 import duckdb
@@ -524,3 +525,32 @@ def test_two_rows_part_and_clashing_names_stay(spark):
     rows = spark.createDataFrame([(1, 9, "a", 1, 2, "x", "y"), (2, 10, "b", 1, 2, "x", "y")], "doc_id long, size long, source string, c0 int, tie int, shard string, at string")
     got = kd_shards.shard_rows(rows, ("source", "size"), levels=1)
     assert got.columns == [*rows.columns, "shard_", "slot"] and sorted(r.shard_ for r in got.collect()) == [0, 1]
+
+
+def test_few_edges_in_one_task_give_the_same_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    edges = spark.createDataFrame([tuple(map(int, e)) for e in rng.integers(-300, 300, (260, 2))], "a long, b long")
+    got = sorted(map(tuple, graph.components(edges).collect()))
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert got == sorted(map(tuple, graph.components(edges).collect())) and len({c for _, c in got}) > 1
+
+
+def test_shuffle_files_go_while_lines_are_deduplicated(spark, sf_dir, monkeypatch):
+    """Before, they all stayed until the driver happened to collect its garbage."""
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    count = lambda: held.getAllFiles().size()
+    seen = []
+
+    def freed(spark, free=common.freed):
+        before = count()
+        free(spark)
+        for _ in range(50):
+            if count() < before:
+                break
+            time.sleep(0.1)
+        seen.append(before - count())
+
+    monkeypatch.setattr(common, "freed", freed)
+    docs = common.table(spark, sf_dir, "documents")
+    lines.dropped(docs)
+    assert len(seen) >= 2 and seen[0] > 0
