@@ -18,6 +18,8 @@ STAR = "key long, v long, w long, edge boolean"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Edges that one task connects at once; more of them take distributed steps.
 TASK_EDGES = 1 << 20
+#: Bytes of the clusters that are linked in one call, but for a cluster that is larger by itself.
+AT_ONCE_BYTES = 8 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,17 +127,22 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("p").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("p")), F.struct(F.col("p").alias("v"), F.col("m").alias("p")))).alias("x")).select("x.*").where("p < v")
         e = common.cut(small.distinct())
+        del near, low, large, small
+        common.freed(e.sparkSession)  # each step's shuffles are several times its edges
     roots = e.select(F.col("p").alias("v")).distinct().select("v", F.col("v").alias("comp"))
     return e.select("v", F.col("p").alias("comp")).unionByName(roots)
 
 
-def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray], most: int) -> DataFrame:
+def linked(members: DataFrame, link: Callable[..., np.ndarray], most: int, at_once: int = 0, overlap: bool = False) -> DataFrame:
     """u and root for members that `link` connects with another one.
 
     members, which is read more than once: comp (the candidate cluster), u (unique), weight, and what link reads. link(rows, labels) gives labels that
     are equal for connected rows; rows whose labels were equal before need no test. A cluster of a weight over `most` is
     cut into blocks by a hash. First every block is linked in one task with block 0, so what a cluster has in common
     joins at a cost in proportion to it; then pairs of blocks that still hold different labels are linked.
+
+    With at_once, clusters of so many rows together go to link(rows, labels, of) in one call, of being the cluster's number
+    for each row. With overlap, a u may stand in more than one cluster.
     """
     spark = members.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -146,17 +153,17 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
     common.freed(spark)  # the shuffles that made the members, held until another query has run
 
     def run(rows: DataFrame) -> DataFrame:
-        def stars(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def stars(table: pa.Table, *of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if table.num_rows < 2:
                 return
             table = table.combine_chunks()
             u, label = table["u"].to_numpy(), table["label"].to_numpy()
-            if len(u) == 2:
+            if len(u) == 2 and not of:
                 out = link(table, np.array([0, int(label[0] != label[1])]))
                 if out[0] == out[1]:
                     yield u.max(keepdims=True), u.min(keepdims=True)
                 return
-            out = link(table, np.unique(label, return_inverse=True)[1])
+            out = link(table, np.unique(label, return_inverse=True)[1], *of)
             order = np.lexsort((u, out))
             s_out, s_u = out[order], u[order]
             new = np.ones(len(s_out), bool)
@@ -166,10 +173,21 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
             if multi.any():
                 yield s_u[multi], root[multi]
 
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            held, n, size = [], 0, 0
+            for table in common.by_group(batches, ["comp", "task"], lambda t: [t] if t.num_rows > 1 else []):
+                if held and (n + table.num_rows > at_once or size + table.nbytes > AT_ONCE_BYTES):
+                    yield from stars(pa.concat_tables(held), np.repeat(np.arange(len(held)), [t.num_rows for t in held]))
+                    held, n, size = [], 0, 0
+                held.append(table)
+                n, size = n + table.num_rows, size + table.nbytes
+            if held:
+                yield from stars(pa.concat_tables(held), np.repeat(np.arange(len(held)), [t.num_rows for t in held]))
+
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The stars of many small clusters leave together."""
             held, n = [], 0
-            for b, a in common.by_group(batches, ["comp", "task"], stars):
+            for b, a in together(batches) if at_once else common.by_group(batches, ["comp", "task"], stars):
                 held.append((b, a))
                 n += len(b)
                 if n >= 8192:
@@ -183,6 +201,8 @@ def linked(members: DataFrame, link: Callable[[pa.Table, np.ndarray], np.ndarray
 
     if n_large == 0:
         edges = common.cut(run(members.withColumns({"task": F.lit(0).cast("long"), "label": F.col("u")})))
+        if overlap:
+            return components(edges).select(F.col("v").alias("u"), F.col("comp").alias("root"))
         # one task saw the whole cluster, so its stars are the components
         return edges.select(F.col("b").alias("u"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("u"), F.col("a").alias("root")).distinct())
     blocked = common.small_or_shuffled(members, sizes, "comp", "left", n_large, 24)

@@ -13,9 +13,10 @@ length, is at least `similarity`. Of each connected group of lines over the whol
    similarity whose edits are scattered over all words can be missed (figures, also of the SimHash blocks that these keys
    stand in for: README). Different lines that share a key form candidate clusters through star edges; no pairs are
    listed.
-3. In a cluster the lines' texts are fetched and the pairs that share a key and aren't yet connected are verified: words
-   replaced in their places are a bound from above, pairs of characters that stand too far away one from below; what
-   neither decides is computed.
+3. In a cluster the lines' texts are fetched and the pairs that share a key and aren't yet connected are verified, many
+   pairs' tables by antidiagonals at once. A cluster of more than TASK_LINES lines, which chance keys make out of smaller
+   ones as the corpus grows, is taken apart into the sets of its lines that share a key: a line goes to BANDS sets at
+   most. Only a set that is larger still is cut into blocks.
 
 Joins of keys with keys, which are narrow, are shuffled. The lines to fetch and the decisions, lists of line numbers for the documents concerned, are joined with the texts: by
 broadcast while their counted size is small; beyond that a sieve of bounded size passes the documents concerned (and a
@@ -49,8 +50,10 @@ BINS, EMPTY, TRIES = ROWS * BANDS, np.uint32(0xFFFFFFFF), 64
 DONORS = (graph.mixed(np.arange(1, TRIES * BINS + 1)) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
 #: Cells of the pairs of characters that are compared before a distance is computed.
 PLACES = 512
-#: Lines that one task verifies at once; a larger cluster is cut into blocks.
+#: Lines that one task verifies at once; a larger cluster is taken apart by keys.
 TASK_LINES = 2048
+#: Lines and pairs that are verified together, characters of a line up to which they are, and pairs from which that pays.
+AT_ONCE, PAIRS, LONGEST, FEWEST = 4096, 512, 4096, 12
 #: ASCII punctuation, which goes (1), and white space (2).
 CLASS = np.zeros(256, np.uint8)
 CLASS[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = 1
@@ -311,27 +314,165 @@ def band_edges(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(common.lean(lambda batches: common.by_group(batches, ["bucket", "kind"], give)), "a long, b long").distinct()
 
 
+def within(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's distance is at most `most`, for lines of up to LONGEST characters.
+
+    A row stands for a diagonal, a column for a pair; cells of one antidiagonal, which lie on every other diagonal, follow
+    from the two antidiagonals before. Only the diagonals that `most` edits can reach and come back from are held: from `low`,
+    which is even, in `even` and `odd`. Pairs that end, or have no cell within `most`, go.
+    """
+    out = np.zeros(len(left), bool)
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right, strict=True)]
+    n, m = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    at = np.flatnonzero(m - n <= most)
+    at = at[np.argsort((n + m)[at], kind="stable")]
+    if not len(at):
+        return out
+    n, m, most = n[at], m[at], most[at]
+    low = -((most - (m - n)) // 2)
+    low -= low & 1
+    half, ends = -low // 2, n + m
+    u, last = int(((most + m - n) // 2 - low + 1).max()) // 2, int(ends[-1])
+    chars = [[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in pairs[p]] for p in at.tolist()]
+    wide = np.uint16 if max(int(x.max(initial=0)) for p in chars for x in p) < 0xFFFE else np.uint32
+    up = np.full((last // 2 + u + 2, len(at)), np.iinfo(wide).max, wide)  # the shorter lines, from their ends
+    down = np.full(((last + 1) // 2 + u + 2, len(at)), np.iinfo(wide).max - 1, wide)
+    for k, (a, b) in enumerate(chars):
+        h = half[k]
+        up[last // 2 + h - len(a) + 1 : last // 2 + h + 1, k] = a[::-1]
+        down[h : h + len(b), k] = b
+    even, odd = np.full((u + 1, len(at)), 16384, np.uint16), np.full((u + 2, len(at)), 16384, np.uint16)
+    even[half, np.arange(len(at))] = 0
+    goal, most = m - n - low, most.astype(np.uint16)
+    done = int(np.searchsorted(ends, 0, side="right"))
+    out[at[:done]] = True  # empty lines
+    differ, unlike, step = np.empty(even.shape, wide), np.empty(even.shape, np.uint16), np.empty(even.shape, np.uint16)
+    for s in range(1, last + 1):
+        rows = u + 1 - (s & 1)
+        r, y = last // 2 - (s >> 1) + 1, (s + 1 >> 1) - 1
+        from_, cells = (even, odd[1:-1]) if s & 1 else (odd, even)
+        np.bitwise_xor(up[r : r + rows], down[y : y + rows], out=differ[:rows])
+        cells += np.minimum(differ[:rows], 1, out=unlike[:rows], casting="unsafe")
+        np.minimum(from_[:-1], from_[1:], out=step[:rows])
+        step[:rows] += 1
+        np.minimum(cells, step[:rows], out=cells)
+        if done < len(at) and ends[done] == s:
+            new = int(np.searchsorted(ends, s, side="right"))
+            k = np.arange(done, new)
+            out[at[k]] = cells[goal[k] // 2, k] <= most[k]
+            done = new
+        if not s & 31:
+            live = np.minimum(even.min(axis=0), odd.min(axis=0)) <= most
+            live[:done] = False
+            if not live.any():
+                break
+            if live.sum() <= 0.8 * len(at):
+                at, ends, goal, most, done = at[live], ends[live], goal[live], most[live], 0
+                up, down, even, odd = up[:, live], down[:, live], even[:, live], odd[:, live]
+                differ, unlike, step = np.empty(even.shape, wide), np.empty(even.shape, np.uint16), np.empty(even.shape, np.uint16)
+    return out
+
+
+def verified(line: list[str], size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """similar() of the pairs (i, j) of lines."""
+    longer = np.maximum(size[i], size[j])
+    order = np.argsort(longer, kind="stable")
+    order, few = order[: np.searchsorted(longer[order], LONGEST, side="right")], order[np.searchsorted(longer[order], LONGEST, side="right") :]
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(order), PAIRS):
+        part = order[k : k + PAIRS]
+        if len(part) < FEWEST:
+            few = np.concatenate([few, part])
+        else:
+            out[part] = within([line[x] for x in i[part]], [line[x] for x in j[part]], ((1 - similarity) * longer[part] + 1e-9).astype(np.int64))
+    for k in few.tolist():
+        out[k] = similar(line[i[k]], line[j[k]], similarity)
+    return out
+
+
 def link(similarity: float):
-    """Verifies the pairs of a cluster that share a band key and aren't connected yet."""
+    """Verifies the pairs of lines of a cluster that share a band key and aren't connected yet.
 
-    def run(table: pa.Table, labels: np.ndarray) -> np.ndarray:
+    Lines of a key are met at growing distances in its list; a key whose lines are all connected leaves.
+    """
+
+    def run(table: pa.Table, labels: np.ndarray, of: np.ndarray) -> np.ndarray:
         label = labels.astype(np.int64)
-        line = table["text"].to_pylist()
-        if len(line) == 2:  # they are a cluster by the key that they share
-            return label if label[0] != label[1] and not similar(*line, similarity) else np.zeros(2, np.int64)
+        line, n = table["text"].to_pylist(), table.num_rows
         size = np.array([len(x) for x in line])
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u4").reshape(len(line), BANDS)
-        for i in range(len(line) - 1):
-            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            rest = rest[np.abs(size[rest] - size[i]) <= (1 - similarity) * np.maximum(size[rest], size[i]) + 1e-6]
-            for j in rest[(keys[rest] == keys[i]).any(axis=1)].tolist():
-                if label[i] != label[j] and similar(line[i], line[j], similarity):
-                    label[label == label[j]] = label[i]
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u4").reshape(n, BANDS).astype(np.uint64)
+        code = ((of[:, None] * BANDS + np.arange(BANDS)).astype(np.uint64) << np.uint64(32) | keys).ravel()
+        order = np.argsort(code, kind="stable")
+        x, key = order // BANDS, np.cumsum(np.append(True, code[order][1:] != code[order][:-1]))
+        tested, held = np.zeros(n * n, bool), []
+
+        def flush() -> None:
+            nonlocal label
+            pair = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+            held.clear()
+            i, j = pair // n, pair % n
+            differ = label[i] != label[j]
+            i, j = i[differ], j[differ]
+            same = verified(line, size, i, j, similarity)
+            if same.any():
+                items, root = graph.joined(label[i[same]], label[j[same]])
+                new = np.arange(n)
+                new[items] = root
+                label = new[label]
+
+        far, waiting = 0, 0
+        while True:
+            if not far & (far + 1):  # before distances 1, 2, 4, ...
+                flush()
+                waiting = 0
+                start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+                if len(start):
+                    lo, hi = np.minimum.reduceat(label[x], start), np.maximum.reduceat(label[x], start)
+                    count = np.diff(np.append(start, len(x)))
+                    stay = np.repeat((lo < hi) & (count > far + 1), count)
+                    x, key = x[stay], key[stay]
+            far += 1
+            if len(x) <= far:
+                break
+            near = key[far:] == key[:-far]
+            i, j = x[:-far][near], x[far:][near]
+            pair = i * n + j
+            take = (label[i] != label[j]) & ~tested[pair] & (np.abs(size[i] - size[j]) <= (1 - similarity) * np.maximum(size[i], size[j]) + 1e-6)
+            tested[pair[take]] = True
+            held.append(pair[take])
+            waiting += int(take.sum())
+            if waiting >= 4 * PAIRS:
+                flush()
+                waiting = 0
+        flush()
         return label
 
     return run
 
 
+def by_keys(found: DataFrame) -> tuple[DataFrame, bool]:
+    """found, with each cluster of more than TASK_LINES lines replaced by the sets of its lines that share a key, equal sets
+    once; and whether there is such a cluster. A set's number is below 0, and a line may be in many of them."""
+    large = common.cut(found.groupBy("comp").count().where(F.col("count") > TASK_LINES).select("comp"))
+    if not (n := large.count()):
+        return found, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(-1, BANDS) | np.arange(BANDS) << 32
+                of = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(key.ravel())], ["comp", "u", "key"])
+
+    part = common.small_or_shuffled(found, large, "comp", "left_semi", n, 16)
+    keys = part.select("comp", "u", "keys").mapInArrow(common.lean(run), "comp long, u long, key long")
+    sets = keys.groupBy("comp", "key").agg(F.array_sort(F.collect_list("u")).alias("us")).where(F.size("us") > 1).select("us").distinct()
+    sets = common.cut(sets.select((-1 - F.monotonically_increasing_id()).alias("comp"), "us")).select("comp", F.explode("us").alias("u"))
+    common.freed(found.sparkSession)
+    rest = common.small_or_shuffled(found, large, "comp", "left_anti", n, 16)
+    return rest.unionByName(part.drop("comp").join(sets, "u")), True
+
+
 def fetched(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     """u, comp, weight, text, keys: the members' normalised lines and band keys, from the documents that wanted lists."""
     # a text that only shares the hash with the one that was asked for gives lines of other keys
@@ -365,8 +506,9 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, similarity: float = SIM
     members = common.cut(met.select("k1", "k2", "at", "comp", F.monotonically_increasing_id().alias("u")))
     wanted = common.cut(members.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.hash").alias("_hash")).agg(F.collect_list("at.line").alias("lines")))
     found = fetched(docs, members, wanted)
-    links = common.cut(graph.linked(found, link(similarity), TASK_LINES))
-    del found
+    parts, overlap = by_keys(found)
+    links = common.cut(graph.linked(parts, link(similarity), TASK_LINES, AT_ONCE, overlap))
+    del found, parts
     common.freed(docs.sparkSession)
     grouped = members.join(links, "u").select("k1", "k2", "root", "at")
     first = grouped.groupBy("root").agg(F.min("at").alias("first"))

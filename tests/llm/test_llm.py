@@ -502,6 +502,42 @@ def test_lines_with_a_replaced_word_are_found(spark):
     assert sum(pairs) > 250 and len(gone) >= 0.98 * sum(pairs)
 
 
+def test_pairs_verified_together_as_one_by_one():
+    rng = np.random.default_rng(11)
+    for _ in range(80):
+        alphabet = list(rng.choice(["ab", "abcdefgh", "a\u00e9\U0001f600x "]))
+        text = lambda most: "".join(rng.choice(alphabet, int(rng.integers(0, most))))  # noqa: B023, E731
+        left, right = [], []
+        for _ in range(30):
+            left.append(text(120))
+            cut = sorted(rng.integers(0, len(left[-1]) + 1, 2).tolist())
+            right.append(left[-1][: cut[0]] + text(8) + left[-1][min(cut[0] + int(rng.integers(0, 8)), cut[1]) :] if rng.random() < 0.8 else text(120))
+        most = rng.integers(0, 14, 30)
+        assert lines.within(left, right, most).tolist() == [lines.distance(a, b) <= m for a, b, m in zip(left, right, most, strict=True)]
+
+
+def test_large_clusters_of_lines_are_taken_apart_by_keys(spark, monkeypatch):
+    """Before, a cluster was cut into blocks of which all pairs met, so rows grew with its square."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(700)]
+    texts = [" ".join(words[3 * k : 3 * k + 30]) for k in range(200)]  # a chain of lines that share keys and aren't similar
+    texts += [x.replace(x[70:74], "zz") for x in texts[::5]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = lambda: sorted(map(tuple, lines.dropped(rows).select("drop_doc", "drop_lines").collect()))
+    one, seen = gone(), []
+
+    def linked(members, *rest, link=graph.linked):
+        seen.append(members.groupBy("comp").count().toPandas()["count"])
+        return link(members, *rest)
+
+    monkeypatch.setattr(graph, "linked", linked)
+    monkeypatch.setattr(lines, "TASK_LINES", 25)
+    assert gone() == one and len(one) >= 38
+    assert seen[0].max() <= 25 and 200 < seen[0].sum() <= lines.BANDS * len(texts)
+    monkeypatch.setattr(lines, "TASK_LINES", 4)  # sets of a key in blocks
+    assert gone() == one
+
+
 # --- 10 ---
 def test_leaves_are_even_and_slots_gapless(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("source"), F.lit("en").alias("lang"), (F.col("id") % 17 + 1).alias("size"))
